@@ -20,5 +20,14 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_wu_manber": op8_wu_manber}
+def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm._scratch import folder
+    from tidelog.llm.dac_tokens import read_tokens, write_tokens
+
+    path = f"{folder(spark)}/tokens"
+    write_tokens(_read(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path)
+
+
+QUERIES = {"op10_dac_tokens": op10_dac_tokens, "op8_wu_manber": op8_wu_manber}
 ORACLES: dict[str, str] = {}
