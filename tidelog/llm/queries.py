@@ -5,11 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import fair_mix
+from tidelog.llm._scratch import folder, held_out, learning_rows
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.language_bloom import identify, learn
+
+    docs = _read(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, learning_rows(docs, "doc_id", 3, 1)))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity_cnn import learn, score
+
+    docs = _read(spark, sf_dir, "documents")
+    net = learn(docs, _read(spark, sf_dir, "labels"), lambda df: learning_rows(df, "doc_id", 5, 0))
+    return score(docs, net).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fair_mix.schedule(_read(spark, sf_dir, "documents"), ["doc_id"])
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["taken"])
+    return found.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.wu_manber import passages
 
@@ -21,7 +46,6 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm._scratch import folder
     from tidelog.llm.dac_tokens import read_tokens, write_tokens
 
     path = f"{folder(spark)}/tokens"
@@ -29,5 +53,11 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES = {"op10_dac_tokens": op10_dac_tokens, "op8_wu_manber": op8_wu_manber}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_language_bloom": op1_language_bloom,
+    "op3_toxicity_cnn": op3_toxicity_cnn,
+    "op5_fair_mix": op5_fair_mix,
+    "op8_wu_manber": op8_wu_manber,
+    "op10_dac_tokens": op10_dac_tokens,
+}
+ORACLES: dict[str, str] = {"op5_fair_mix": fair_mix.SQL}
