@@ -90,12 +90,22 @@ def word_spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[n
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans, eight bytes a step; equal spans have equal hashes."""
+def _blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, zeros behind the end."""
     padded = np.empty(len(buf) + 8, dtype=np.uint8)
     padded[: len(buf)] = buf
     padded[len(buf) :] = 0
-    blocks = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    return np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def first_block(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as one number."""
+    return _blocks(buf)[starts] & _MASKS[np.minimum(lens, 8)]
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes a step; equal spans have equal hashes."""
+    blocks = _blocks(buf)
     h = (lens.astype(U64) + U64(seed)) * _MUL
     h = mix((h ^ (blocks[starts] & _MASKS[np.minimum(lens, 8)])) * _MUL)
     rest = np.flatnonzero(lens > 8)
@@ -147,3 +157,117 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over each text's slice; empty slices give 0."""
     c = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
     return c[first[1:]] - c[first[:-1]]
+
+
+class HashIndex:
+    """Position of each of n distinct non-zero hashes, found for whole arrays at once."""
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(4, int(np.ceil(np.log2(2 * len(hashes) + 1))))
+        self.mask = U64(size - 1)
+        self.keys, self.at = np.zeros(size, U64), np.zeros(size, np.int32)
+        slot, on = hashes & self.mask, np.arange(len(hashes))
+        while len(on):
+            free = on[self.keys[slot[on]] == 0]
+            self.keys[slot[free]] = hashes[free]
+            mine = free[self.keys[slot[free]] == hashes[free]]
+            self.at[slot[mine]] = mine
+            lost = np.ones(len(hashes), bool)
+            lost[mine] = False
+            on = on[lost[on]]
+            slot[on] = (slot[on] + U64(1)) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions; -1 where unknown."""
+        out = np.full(len(h), -1, np.int64)
+        slot, on = h & self.mask, np.arange(len(h))
+        while len(on):
+            key = self.keys[slot[on]]
+            hit = key == h[on]
+            out[on[hit]] = self.at[slot[on[hit]]]
+            on = on[~hit & (key != 0)]
+            slot[on] = (slot[on] + U64(1)) & self.mask
+        return out
+
+
+class Counter:
+    """Counts of 64-bit keys within one task, given out whenever many are held."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.parts, self.held = most, [], 0
+
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.held += len(self.parts[-1][0])
+        return self.take() if self.held > self.most else None
+
+    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.parts:
+            return None
+        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
+        self.parts, self.held = ([], 0) if self.held > self.most // 2 else ([(keys, n)], len(keys))
+        return (keys, n) if not self.parts else None
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray] | None:
+        self.most = 0
+        self.held += 1
+        return self.take()
+
+
+class Memo:
+    """Entries 0, 1, ... of up to ``most`` distinct spans, known by hash, length and first bytes.
+
+    Once full, it keeps what it has."""
+
+    def __init__(self, most: int):
+        self.most, self.known = most, 0
+        self.mask = U64((1 << int(np.ceil(np.log2(2 * most)))) - 1)
+        self.keys, self.entry = np.zeros(int(self.mask) + 1, U64), np.zeros(int(self.mask) + 1, np.int32)
+        self.check = np.zeros(most, U64)
+
+    @staticmethod
+    def keys_of(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(hash_spans(buf, starts, lens), U64(1)), first_block(buf, starts, lens) ^ (lens.astype(U64) << U64(40))
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entries of spans; -1 where unknown."""
+        out = np.full(len(h), -1, np.int64)
+        slot, on = h & self.mask, np.arange(len(h))
+        while len(on):
+            key = self.keys[slot[on]]
+            hit = key == h[on]
+            out[on[hit]] = self.entry[slot[on[hit]]]
+            on = on[~hit & (key != 0)]
+            slot[on] = (slot[on] + U64(1)) & self.mask
+        found = np.flatnonzero(out >= 0)
+        out[found[self.check[out[found]] != check[found]]] = -1
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray) -> int:
+        """Adds the first of these new, distinct spans while there is room; how many were added."""
+        k = min(len(h), self.most - self.known)
+        e = self.known + np.arange(k)
+        self.check[e] = check[:k]
+        self.known += k
+        slot, on = h[:k] & self.mask, np.arange(k)
+        while len(on):
+            free = on[self.keys[slot[on]] == 0]
+            self.keys[slot[free]] = h[free]
+            mine = free[self.keys[slot[free]] == h[free]]
+            self.entry[slot[mine]] = e[mine]
+            lost = np.ones(k, bool)
+            lost[mine] = False
+            on = on[lost[on]]
+            slot[on] = (slot[on] + U64(1)) & self.mask
+        return k
+
+
+def distinct(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each distinct pair, the pair of each index)."""
+    order = np.lexsort((check, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back

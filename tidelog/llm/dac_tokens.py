@@ -16,13 +16,12 @@ holds; nothing is decoded around it.  A page holds whole documents of about ``PA
 
 Document order is ascending id, null ids first; rows with one id are ordered by a hash of the text.
 Null and empty texts are the end id alone.  Extra columns are ignored.  An empty table gives no
-rows.  Encoding splits a text only at single spaces between non-blank characters, where the byte-level
-pre-tokenizer always splits too, and remembers the ids of pieces seen before (at most MEMO pieces).
+rows.  Texts are encoded piece by piece (see piece_starts), with the ids of pieces seen before at hand.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,49 +32,95 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import _text as T
 
-PAGE_BYTES = 4 << 20
-MEMO = 200_000
+PAGE_BYTES = 2 << 20
+MEMO = 1 << 20
 BLOCK = 512
-_PIECE = re.compile(r"(?<=\S)(?= \S)")
+_BLANK, _LETTER, _PUNCTUATION = (np.zeros(256, bool) for _ in range(3))
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCTUATION[33:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[123:127] = True
 PAGES = "shard int, page int, shard_start long, first_row long, n_docs long, n_tokens long, payload binary"
 
 
+def piece_starts(buf: np.ndarray, off: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Starts of pieces, at places where the pre-tokenizer splits whatever stands around them: texts,
+    single spaces between non-blank characters, and ASCII punctuation after a letter.
+
+    Blank characters are recognised by their UTF-8 bytes, on the safe side: an unsure place is no
+    start, so a piece may hold several words but never a part of a pre-token.  Nor does a piece start
+    within one of the strings of whole (a vocabulary's special tokens)."""
+    n = len(buf)
+    begin = np.zeros(n, bool)
+    begin[off[:-1][np.diff(off) > 0]] = True
+    at = np.flatnonzero(buf[3 : n - 1] == 32) + 3
+    c3, c2, c1, after = buf[at - 3], buf[at - 2], buf[at - 1], buf[at + 1]
+    unsure = _BLANK[c1] | _BLANK[after] | (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
+    unsure |= (c2 == 0xC2) & ((c1 == 0x85) | (c1 == 0xA0))
+    unsure |= (c3 >= 0xE1) & (c3 <= 0xE3) & (c2 >= 0x80) & (c1 >= 0x80)
+    begin[at[~unsure]] = True
+    at = np.flatnonzero(_PUNCTUATION[buf[2:]]) + 2
+    c2, c1 = buf[at - 2], buf[at - 1]
+    begin[at[_LETTER[c1] | ((c2 == 0xC3) & (c1 >= 0x80) & (c1 != 0x97) & (c1 != 0xB7))]] = True
+    text = buf.tobytes() if whole else b""
+    for special in whole:
+        at = text.find(special)
+        while at >= 0:
+            begin[at + 1 : at + len(special)] &= np.isin(np.arange(at + 1, at + len(special)), off)
+            at = text.find(special, at + 1)
+    return np.flatnonzero(begin)
+
+
 class Encoder:
-    """tokenizers ids of whole texts, remembering pieces."""
+    """tokenizers ids of whole texts.  Each distinct piece is encoded by the library once and then
+    remembered (see Memo); once MEMO pieces are known, new ones are encoded but not kept."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.starts, self.ids = [0], []
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.whole = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.memo = T.Memo(MEMO)
+        self.starts, self.ids = np.zeros(MEMO + 1, np.int64), np.zeros(4 * MEMO, np.uint32)
+
+    def _keep(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        at = self.memo.known
+        room = int(np.searchsorted(np.cumsum(n), len(self.ids) - self.starts[at], side="right"))
+        k = self.memo.add(h[:room], check[:room])
+        self.starts[at + 1 : at + k + 1] = self.starts[at] + np.cumsum(n[:k])
+        self.ids[self.starts[at] : self.starts[at + k]] = ids[: n[:k].sum()]
+
+    def encode(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id after it; n+1 offsets)."""
-        pieces: list[str] = []
-        upto = np.zeros(len(texts) + 1, np.int64)
-        for k, t in enumerate(texts):
-            if t:
-                pieces += _PIECE.split(t)
-            upto[k + 1] = len(pieces)
-        if len(self.memo) > MEMO:
-            self.forget()
-        new = list(dict.fromkeys(p for p in pieces if p not in self.memo))
-        for e, p in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            self.memo[p] = len(self.starts) - 1
-            self.ids += e.ids
-            self.starts.append(len(self.ids))
-        which = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
-        starts, ids = np.array(self.starts), np.array(self.ids, np.uint32)
-        n = starts[which + 1] - starts[which]
-        body = ids[T.spans_index(starts[which], n)]
-        off = np.concatenate([[0], np.cumsum(n)])[upto]
-        out = np.full(len(body) + len(texts), end, np.uint32)
-        out[np.arange(len(body)) + np.repeat(np.arange(len(texts)), np.diff(off))] = body
-        return out, off + np.arange(len(texts) + 1)
+        buf, off = T.text_buffer(col)
+        starts = piece_starts(buf, off, self.whole)
+        lens = np.diff(np.append(starts, len(buf)))
+        h, check = T.Memo.keys_of(buf, starts, lens)
+        entry = self.memo.find(h, check)
+        new = np.flatnonzero(entry < 0)
+        pick, back = T.distinct(h[new], check[new])
+        own = new[pick]
+        ids, n = [], []
+        for at in range(0, len(own), 2000):
+            texts = [buf[s : s + k].tobytes().decode() for s, k in zip(starts[own[at : at + 2000]], lens[own[at : at + 2000]], strict=True)]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                got = e.ids
+                ids += got
+                n.append(len(got))
+        ids, n = np.array(ids, np.uint32), np.array(n, np.int64)
+        size = np.zeros(len(h), np.int64)
+        old = entry >= 0
+        size[old] = self.starts[entry[old] + 1] - self.starts[entry[old]]
+        size[new] = n[back]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        which = np.searchsorted(off, starts, side="right") - 1  # the text of each piece
+        place = upto[:-1] + which  # one end id for each text before it
+        out = np.full(int(upto[-1]) + len(off) - 1, end, np.uint32)
+        out[T.spans_index(place[old], size[old])] = self.ids[T.spans_index(self.starts[entry[old]], size[old])]
+        begin = np.cumsum(n) - n
+        out[T.spans_index(place[new], size[new])] = ids[T.spans_index(begin[back], size[new])]
+        self._keep(h[own], check[own], ids, n)
+        return out, upto[np.searchsorted(starts, off)] + np.arange(len(off))
 
 
 def pack(ids: np.ndarray, off: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -143,12 +188,23 @@ class Page:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker, with what it has learned in earlier tasks."""
+    if vocabulary not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def _write(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, page, tokens, rows = Encoder(vocabulary), 0, 0, 0
+        encoder, page, tokens, rows = encoder_of(vocabulary), 0, 0, 0
         for whole in batches:
             for b in T.slices(whole, "text", PAGE_BYTES):
-                ids, off = encoder.encode(b.column("text").to_pylist(), end)
+                ids, off = encoder.encode(b.column("text"), end)
                 out = {"shard": b.column("shard").slice(0, 1), "page": pa.array([page], pa.int32()), "shard_start": pa.array([tokens]), "first_row": pa.array([rows]), "n_docs": pa.array([b.num_rows]), "n_tokens": pa.array([len(ids)])}
                 yield pa.RecordBatch.from_pydict(out | {"payload": pa.array([pack(ids, off, b.column("doc_id").to_pylist())], pa.binary())})
                 page, tokens, rows = page + 1, tokens + len(ids), rows + b.num_rows
