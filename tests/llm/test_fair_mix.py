@@ -24,9 +24,9 @@ ROWS = [(k, "w " * (k % 7 + 1), ["a", "b", None, "é", "tiny"][k % 5] if k % 50
 ]
 
 
-def brute(rows):
+def brute(rows, last=(None,)):
     size = lambda t: len(re.findall(M.WORDS, t or ""))
-    sources = sorted({s for _, _, s, _ in rows if s is not None}) + [None]
+    sources = sorted({s for _, _, s, _ in rows if s is not None}) + list(last or ())
     total = {s: sum(size(t) for _, t, q, _ in rows if q == s) for s in sources}
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
     budget, target = 1.5 * sum(total.values()), {}
