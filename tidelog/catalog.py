@@ -137,6 +137,17 @@ def never_written_reads(spark, sf_dir):
     return log.filter("op = 'GET'").join(writes(log).select("inode", "block"), ["inode", "block"], "left_anti").select("seq", "key_str")
 
 
+@query(f"{_LOG} SELECT inode, block, key_str, value FROM live WHERE inode = 3 AND block > 7 ORDER BY block LIMIT 6")
+def iterator_page(spark, sf_dir):
+    return read.next_page(_state(spark, sf_dir), 3, 7, 6)
+
+
+@query(f"{_LOG} SELECT w.inode, w.block, w.seq FROM w JOIN latest USING (seq) WHERE w.tid % 3 = 0")
+def pinned_pairs(spark, sf_dir):
+    log = read_log(spark, sf_dir)
+    return read.still_current(writes(log).filter("tid % 3 = 0").select("inode", "block", "seq"), read.latest_state(log))
+
+
 # -- changes ---------------------------------------------------------------------------------------
 
 
@@ -291,6 +302,18 @@ def order_check(spark, sf_dir):
     return merge.is_ordered(merge.segment_ranges(merge.segments(_state(spark, sf_dir).filter("NOT is_deleted"))))
 
 
+@query(f"{_CUT} SELECT key_str, pos FROM cut WHERE pos = 7")
+def nth_key(spark, sf_dir):
+    return merge.nth(_state(spark, sf_dir).filter("NOT is_deleted"), 7).select("key_str", "pos")
+
+
+@query(f"{_LOG} SELECT key_str <= '00000000070000000000' AS upto, count(*) AS n, min(key_str) AS lo, max(key_str) AS hi FROM live GROUP BY 1")
+def split_run(spark, sf_dir):
+    side = lambda df, flag: df.select(F.lit(flag).alias("upto"), "key_str")
+    left, right = merge.split(_state(spark, sf_dir).filter("NOT is_deleted"), "00000000070000000000")
+    return side(left, True).union(side(right, False)).groupBy("upto").agg(F.count("*").alias("n"), F.min("key_str").alias("lo"), F.max("key_str").alias("hi"))
+
+
 @query(f"{_RUNS} SELECT u.run_id AS upper_run, l.run_id AS lower_run FROM runs u JOIN runs l ON u.min_key <= l.max_key AND l.min_key <= u.max_key WHERE u.level = 0 AND l.level = 1")
 def run_overlap(spark, sf_dir):
     r = _runs(spark, sf_dir)
@@ -536,6 +559,13 @@ def op_mix(spark, sf_dir):
     return read_log(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))
 
 
+@query(f"""{_LOG} SELECT seq, CASE op WHEN 'SET' THEN 'DATA_SET' WHEN 'GET' THEN 'META_GET' WHEN 'DELETE' THEN 'DATA_DEL' ELSE 'META_UPDATE' END AS file_op, op,
+  CASE op WHEN 'SET' THEN 1 WHEN 'GET' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'RMW' THEN 7 END::INT AS opcode FROM log""")
+def op_translation(spark, sf_dir):
+    name = F.when(F.col("op") == "SET", "DATA_SET").when(F.col("op") == "GET", "META_GET").when(F.col("op") == "DELETE", "DATA_DEL").otherwise("META_UPDATE")
+    return requests.translate(read_log(spark, sf_dir).select("seq", name.alias("file_op")))
+
+
 _DRAW = "('0x' || substr(md5('{seed}-' || i), 1, 8))::BIGINT % {below}"
 
 
@@ -578,6 +608,12 @@ def workload_locality(spark, sf_dir):
     return workloads.locality(spark, 5000, 5, 1005)
 
 
+@query(f"""WITH g AS ({_generated(f"CASE WHEN {_DRAW.format(seed=2, below=100)} < 50 THEN 'SET' ELSE 'GET' END", "5 + " + _DRAW.format(seed=1, below=1000), 5000)})
+SELECT i, op, k, key_str FROM g WHERE op = 'SET' OR EXISTS (SELECT 1 FROM g w WHERE w.op = 'SET' AND w.k = g.k AND w.i < g.i)""")
+def workload_latency(spark, sf_dir):
+    return workloads.latency(spark, 5000, 5, 1005)
+
+
 @query("SELECT i // 629 AS tid, i // 629 // 2 AS term, count(*) + 2 AS rows_of FROM range(5000) t(i) GROUP BY 1, 2")
 def workload_transactions(spark, sf_dir):
     return workloads.transactions(workloads.sequential(spark, 5000, 5, 1005)).groupBy("tid", "term").agg(F.count("*").alias("rows_of"))

@@ -89,6 +89,16 @@ def is_ordered(ranges: DataFrame) -> DataFrame:
     return ranges.join(before, "segment").filter("before >= min_key").select("segment", "min_key", "before")
 
 
+def nth(rows: DataFrame, n: int) -> DataFrame:
+    """The row at place n (from 0) of the sorted run."""
+    return numbered(rows).filter(F.col("pos") == n)
+
+
+def split(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows up to and with key, and the rows behind it."""
+    return rows.filter(F.col("key_str") <= key), rows.filter(F.col("key_str") > key)
+
+
 def concatenate(upper: DataFrame, lower: DataFrame) -> DataFrame:
     """Both, if their key ranges are disjoint (a move without a merge); an error otherwise."""
     edge = lambda df: df.agg(F.min("key_str").alias("lo"), F.max("key_str").alias("hi")).first()

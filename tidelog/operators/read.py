@@ -66,6 +66,20 @@ def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = Tru
     return page.drop("value", "payload") if keys_only else page
 
 
+def next_page(state: DataFrame, inode: int, after_block: int | None, n: int, with_values: bool = True) -> DataFrame:
+    """The next n live rows of a prefix behind the last key seen (None: from the start).  The cursor is
+    the key itself, so there is nothing to create, keep or release."""
+    rows = state.filter((F.col("inode") == inode) & ~F.col("is_deleted"))
+    if after_block is not None:
+        rows = rows.filter(F.col("block") > after_block)
+    return rows.select("inode", "block", "key_str", *["value"] * with_values).orderBy("block").limit(n)
+
+
+def still_current(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs (inode, block, seq) that the state still holds."""
+    return pairs.join(state.select(*KEY, "seq"), [*KEY, "seq"], "left_semi")
+
+
 def range_get(state: DataFrame, start_key: str, n: int, inclusive: bool = True) -> DataFrame:
     """The first n live rows from start_key on, within its prefix (the first ten digits)."""
     at = F.col("key_str") >= start_key if inclusive else F.col("key_str") > start_key

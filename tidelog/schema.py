@@ -29,8 +29,8 @@ class Geometry:
 
 GEOMETRY = Geometry()
 
-#: Transaction states, in the order of a transaction's life.
-TXN_STATES = ("EMPTY", "CACHED", "LOGGED", "WAITCOMMIT", "COMMIT", "CACHEDCOMMIT", "COMPACTION", "NONFULLCOMPACTION", "CACHEDCOMPACTION", "ABORTED")
+#: Transaction states, in the order of their numbers.
+TXN_STATES = ("EMPTY", "CACHED", "LOGGED", "COMMIT", "CACHEDCOMMIT", "COMPACTION", "NONFULLCOMPACTION", "WAITFLUSHCOMMITCACHED", "WAITFLUSHCOMMITLOGGED", "WAITCOMMIT")
 #: States whose rows a cursor sees.
 VISIBLE_STATES = ("CACHED", "LOGGED", "COMMIT", "CACHEDCOMMIT")
 
@@ -57,4 +57,12 @@ TRACE = T.StructType(
 )
 
 #: Request types and their numbers.
-OPCODES = {"SET": 1, "GET": 2, "DELETE": 3, "RMW": 7, "BEGIN": 8, "COMMIT": 9, "RANGEGET": 16, "KEYRANGE": 17, "ABORT": 19, "RANGEDEL": 20, "MGET": 22}
+OPCODES = {
+    "SET": 1, "GET": 2, "DELETE": 3, "AGAIN": 4, "NOTFOUND": 5, "CACHE_HIT": 6, "RMW": 7, "BEGIN": 8, "COMMIT": 9, "ITER_CREATE": 10, "ITER_NEXT": 11, "ITER_NEXT_VALUE": 12,
+    "ITER_ALL": 13, "ITER_ALL_VALUE": 14, "ITER_RELEASE": 15, "RANGEGET": 16, "KEYRANGE": 17, "ABORT": 19, "RANGEDEL": 20, "MGET_NOTFOUND": 21, "MGET": 22, "DEFRAG": 23,
+}
+#: What requests of a file system become.
+FILE_OPS = {
+    "META_GET": "GET", "DATA_GET": "GET", "DATA_SEQ_SET": "SET", "META_SET": "SET", "META_SYNC_SET": "SET", "DATA_SET": "SET", "META_DEL": "DELETE", "DATA_DEL": "DELETE",
+    "DATA_DEL_MULTI": "RANGEDEL", "META_CURSOR": "RANGEGET", "DATA_CURSOR": "RANGEGET", "META_UPDATE": "RMW", "DATA_UPDATE": "RMW", "COMMIT": "COMMIT", "GET_MULTI": "MGET",
+}

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.schema import OPCODES, TRACE
+from tidelog.schema import FILE_OPS, OPCODES, TRACE
 
 _NAMES = {v: k for k, v in OPCODES.items()}
 _FIELDS = {"GET": ("length",), "SET": ("offset", "length"), "RANGEDEL": ("offset",), "RANGEGET": ("offset", "length"), "RMW": ("offset", "length")}
@@ -71,6 +71,13 @@ def explode_requests(vectors: DataFrame) -> DataFrame:
     return vectors.select("tid", F.posexplode("requests").alias("seq", "r")).select("tid", "seq", "r.op", "r.key", "r.offset", "r.length", "r.value")
 
 
+def translate(rows: DataFrame, column: str = "file_op") -> DataFrame:
+    """Rows with the store's op and opcode of a file-system request; unknown requests raise an error."""
+    lookup = lambda table, c: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[c]
+    op = F.coalesce(lookup(FILE_OPS, F.col(column)), F.raise_error(F.concat(F.lit("no such request: "), F.col(column))).cast("string"))
+    return rows.withColumn("op", op).withColumn("opcode", lookup(OPCODES, F.col("op")))
+
+
 def trace_lines(log: DataFrame) -> DataFrame:
     """Trace text: `tid type keylen kind inode block offset length crc`, one line per request."""
     code = F.create_map(*(F.lit(x) for pair in OPCODES.items() for x in pair))[F.col("op")]

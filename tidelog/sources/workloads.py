@@ -65,6 +65,18 @@ def locality(spark: SparkSession, n: int, start: int, end: int, hot_percent: int
     return _out(_rows(spark, n), F.lit(op), start + F.pmod(k + shift, F.lit(span)))
 
 
+def latency(spark: SparkSession, n: int, start: int, end: int, percent: int = 50, seed: int = 1) -> DataFrame:
+    """A mix whose reads ask only for keys that the workload has written by then."""
+    rows = mixed(spark, n, start, end, percent, seed)
+    first = rows.filter("op = 'SET'").groupBy("k").agg(F.min("i").alias("written"))
+    return rows.join(first, "k", "left").filter((F.col("op") == "SET") | (F.col("written") < F.col("i"))).select("i", "op", "k", "key_str")
+
+
+def command(spark: SparkSession, op: str, tid: int, k: int) -> DataFrame:
+    """One request as a row that can be appended to a workload."""
+    return spark.range(1).select(F.lit(tid).cast("long").alias("tid"), F.lit(op).alias("op"), F.lit(k).cast("long").alias("k"), padded(F.lit(k), KEY_BYTES).alias("key_str"))
+
+
 def commands(rows: DataFrame) -> DataFrame:
     """Requests grouped into command buffers."""
     per = (GEOMETRY.command_bytes - 8) // (6 + KEY_BYTES)
