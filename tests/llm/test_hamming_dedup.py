@@ -75,8 +75,9 @@ def variants(seed=3, copies=60):
     return [(None if d is None else int(d), t) for d, t in docs]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_edges_and_near_copies(spark, k):
+@pytest.mark.parametrize(("k", "block"), [(2, 1024), (5, 1024), (2, 7)])
+def test_edges_and_near_copies(spark, k, block, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", block)
     docs = variants()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS sid", "2 AS row")
     rows = H.classes(df, k=k).collect()
@@ -102,6 +103,24 @@ def test_all_pairs_within_the_radius_share_a_key():
         assert set(key[sid == 0]) & set(key[sid == 1])
 
 
+def test_blocks_find_what_all_pairs_find():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(40, 60))], rng.integers(0, 1 << 40, int(rng.integers(1, 6))).astype(np.uint64)])) for _ in range(60)]
+    j = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+
+    def groups(pairs):
+        own = list(range(60))
+        for u, v in pairs:
+            own = [own[u] if x == own[v] else x for x in own]
+        return [own.index(x) for x in own]
+
+    u, v = H.links_between(sets, None, 80)
+    assert groups(zip(u, v)) == groups(zip(*np.nonzero(j >= 0.8)))
+    u, v = H.links_between(sets[:25], sets[25:], 80)
+    assert groups(zip(u, v)) == groups([(a, b) for a, b in zip(*np.nonzero(j >= 0.8)) if (a < 25) != (b < 25)])
+
+
 def test_differing_and_components(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 4, (2, 50, H.VALUES)).astype(np.uint16)

@@ -11,7 +11,7 @@ from tidelog.llm._scratch import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of edges (u, v: longs); comp is a node of the component.
 
-    In each round every node hooks to its smallest neighbour, hooks are followed twice, and the edges
+    In each round every node hooks to its smallest neighbour, hooks are followed once more, and the edges
     between different results go on; each round at least halves the nodes that still have edges."""
     edges = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     labels = None
@@ -19,10 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         hook = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up"))
         hook = written(hook, "hooks")
-        for _ in range(2):
-            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up").select("node", F.col("top").alias("up"))
-        hook = written(hook, "hooks")
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        hook = written(hook.join(above, "up").select("node", F.col("top").alias("up")), "hooks")
         if labels is None:
             labels = hook.withColumnRenamed("up", "comp")
         else:

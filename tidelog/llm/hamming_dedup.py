@@ -12,11 +12,15 @@ links with nothing).  Documents link if their sets' Jaccard similarity is at lea
     RADIUS < CHUNKS * (1 + ERRORS) has a chunk with at most one different value, so the allowed error is
     enumerated: each chunk yields one key for each of its values, made of the others.  All pairs within
     the radius share a key.
-4.  No key is expanded into its pairs.  Round one confirms each class with the one leader (smallest
-    class of a key) with which it shares most keys; round two with all its leaders in other
-    components; round three takes what is left, the pairs of classes that share a key across
-    components and are within the radius.  Pairs inside a component need no link.
-5.  A link is confirmed on the full shingle sets of both texts.  Components are contracted in rounds.
+4.  No key is expanded into its pairs.  A class's best leader is the smallest class of a key, of those
+    the one with which it shares most keys; a link to it is looked for first.  Best leaders within
+    2 * RADIUS also make families.  A pair within the radius is in one family, or else it shares a key
+    across families, is found there by its distance, and joins them (rare, so few rows).
+5.  A family whose links to best leaders leave several components is searched in blocks of about
+    BLOCK classes: all pairs of a block with a class outside the family's largest component are
+    compared by one product of 0/1 matrices, and only links that join components come out.  Pairs
+    inside the largest component need no comparison, so copies of one text cost nothing here.
+6.  Links are confirmed on the full shingle sets of both texts.  Components are contracted in rounds.
 
 Null texts are empty.  Rows with a null id take part but name no component unless all ids of theirs
 are null (then component_id is null); rows with one id are judged row by row.  Extra columns are
@@ -37,7 +41,7 @@ from tidelog.llm._bloom import bloom, has
 from tidelog.llm._components import components
 from tidelog.llm._scratch import written
 
-VALUES, RADIUS, ERRORS = 96, 35, 1
+VALUES, RADIUS, ERRORS, BLOCK = 96, 35, 1, 1024
 CHUNKS = RADIUS // (1 + ERRORS) + 1
 _A = T.mix(np.arange(1, VALUES + 1, dtype=T.U64) * T._MUL) | T.U64(1)
 
@@ -134,6 +138,76 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of sets (or within one, if right is None), as
+    indices into left + right.  Common counts come from products of 0/1 matrices, some columns at a
+    time; hashes that only one set has are left out."""
+    sets = left + (right or [])
+    size = np.array([len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    often = np.bincount(column, minlength=len(values)) > 1
+    rank = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = len(left)
+    m = len(right) if right is not None else n
+    common = np.zeros((n, m), np.float32)
+    for at in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(column, [at, at + 2048])
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[row[a:b], column[a:b] - at] = 1
+        common += x[:n] @ (x[n:] if right is not None else x).T
+    other = size[n:] if right is not None else size
+    linked = (100 * common >= percent * (size[:n, None] + other[None, :] - common)) & (common > 0)
+    up = np.arange(len(sets))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = top(int(i)), top(int(j) + (n if right is not None else 0))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(i), int(j) + (n if right is not None else 0)))
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def _compare(k: int, percent: int):
+    """Links of tasks (family, i, j) that come sorted, whose rows carry a block (i or j), sid and text."""
+
+    def solve(i: int, rows: list[tuple[int, int, np.ndarray]]):
+        sides = [[(s, x) for b, s, x in rows if (b == i) == first] for first in (True, False)]
+        sids = np.array([s for side in sides for s, _ in side])
+        if sides[0] and (sides[1] or len(sides[0]) > 1):
+            one = not sides[1]
+            u, v = links_between([x for _, x in sides[0]], None if one else [x for _, x in sides[1]], percent)
+            if len(u):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(sids[u]), "v": pa.array(sids[v])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+        for whole in batches:
+            for b in T.slices(whole, "text", 1 << 20):
+                sets, first = shingles(b.column("text"), k)
+                for n, (*own, block, sid) in enumerate(zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "block", "sid")), strict=True)):
+                    if own != task:
+                        if held:
+                            yield from solve(task[1], held)
+                        task, held = own, []
+                    held.append((block, sid, sets[first[n] : first[n + 1]]))
+        if held:
+            yield from solve(task[1], held)
+
+    return run
+
+
 def _through(passing, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,34 +254,47 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
         of = lambda c: texts.select(F.col("sid").alias(c), F.col("text").alias(f"t{c}"))
         return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm(k, percent), "a long, b long")
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame, radius: int) -> DataFrame:
         of = lambda c: sigs.select(F.col("sid").alias(c), F.col("sig").alias(f"g{c}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").filter(differing(F.col("ga"), F.col("gb")) <= RADIUS).select("a", "b")
+        return pairs.join(of("a"), "a").join(of("b"), "b").filter(differing(F.col("ga"), F.col("gb")) <= radius).select("a", "b")
 
     def labelled(t: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
         return t.join(labels.select(F.col("node").alias(column), F.col("comp").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
-    leaders = written(members.filter("sid <> lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n")), "leaders")
-    best = written(leaders.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "best")
+    # links to best leaders, and families
+    shares = members.filter("sid <> lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"))
+    best = written(near(shares.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), 2 * RADIUS), "best")
     links = written(confirmed(best), "links")
     labels = components(links.toDF("u", "v"))
-    other = labelled(labelled(leaders.join(best, ["a", "b"], "left_anti"), "a", labels, "ca"), "b", labels, "cb").filter("ca <> cb")
-    links = links.union(written(confirmed(written(near(other), "other")), "links"))
-    labels = components(links.toDF("u", "v"))
-
-    # what shares a key across components
-    placed = labelled(members.select("key", "sid"), "sid", labels, "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    placed = written(placed.join(mixed, "key"), "mixed")
-    most = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-    placed = placed.join(most, "key")
-    left = placed.filter("comp <> most").select("key", F.col("sid").alias("a"), F.col("comp").alias("ca")).join(sigs.select(F.col("sid").alias("a"), F.col("sig").alias("ga")), "a")
-    right = placed.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("most")).alias("big")).join(sigs.select(F.col("sid").alias("b"), F.col("sig").alias("gb")), "b")
-    cross = left.join(right, (left.key == right.key) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & (differing(F.col("ga"), F.col("gb")) <= RADIUS))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(leaders, ["a", "b"], "left_anti")
-    last = written(confirmed(written(cross, "cross")), "links")
-    if not last.isEmpty():
-        labels = components(links.union(last).toDF("u", "v"))
+    families = components(best.toDF("u", "v"))
+
+    # pairs that share a key across families
+    placed = labelled(members.select("key", "sid"), "sid", families, "family")
+    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("key")
+    placed = written(placed.join(mixed, "key").join(sigs, "sid"), "mixed")
+    side = lambda c: placed.select("key", F.col("sid").alias(c), F.col("family").alias(f"f{c}"), F.col("sig").alias(f"g{c}"))
+    across = side("a").join(side("b"), "key").filter((F.col("a") > F.col("b")) & (F.col("fa") != F.col("fb")) & (differing(F.col("ga"), F.col("gb")) <= RADIUS))
+    across = written(across.select("a", "b").distinct(), "across")
+    if not across.isEmpty():
+        families = components(best.union(across).toDF("u", "v"))
+
+    # families with several components, in blocks
+    member = labelled(families.withColumnRenamed("node", "sid").withColumnRenamed("comp", "family"), "sid", labels, "part")
+    parts = written(member.groupBy("family", "part").agg(F.count("*").alias("n")), "parts")
+    largest = parts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("n > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select("family", "largest", blocks(F.col("n") - F.col("most")).alias("p"), blocks(F.col("most")).alias("m"))
+    open_ = member.join(largest, "family").withColumn("loose", F.col("part") != F.col("largest"))
+    dealt = F.xxhash64("sid")
+    block = F.when(F.col("loose"), F.pmod(dealt, "p")).otherwise(F.col("p") + F.pmod(dealt, "m")).cast("int")
+    with_loose = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    with_rest = F.when(F.col("loose"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.col("block").alias("i"), (F.col("p") + j).alias("j")))).otherwise(F.array())
+    sent = open_.withColumn("block", block).select("family", "sid", "block", F.explode(F.concat(with_loose, with_rest)).alias("pair")).select("family", "pair.i", "pair.j", "block", "sid")
+    sent = sent.withColumn("task", F.xxhash64("family", "i", "j")).join(texts, "sid")
+    more = sent.repartition("task").sortWithinPartitions("task", "family", "i", "j").mapInArrow(_compare(k, percent), "u long, v long")
+    more = written(more, "links")
+    if not more.isEmpty():
+        labels = components(links.toDF("u", "v").union(more))
 
     found = labelled(sets.select("sid", "s1", "s2", "min_id", "row"), "sid", labels, "comp")
     name = found.groupBy("comp").agg(F.min("min_id").alias("component"), F.min_by("row", F.struct(F.col("min_id").isNull(), "min_id", "row")).alias("kept_row"))
