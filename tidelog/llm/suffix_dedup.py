@@ -342,7 +342,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def judged(t: DataFrame) -> DataFrame:
         """t with the first place of each content and whether a row is that place."""
-        firsts = t.groupBy("mh", "c1", "c2").agg(F.min(F.struct("d", "th", "pos")).alias("first"))
+        # written, so that the join's exchanges stand alone and a hot content can be split between tasks
+        firsts = written(t.groupBy("mh", "c1", "c2").agg(F.min(F.struct("d", "th", "pos")).alias("first")), "first_places")
         return t.join(firsts, ["mh", "c1", "c2"]).withColumn("is_first", F.struct("d", "th", "pos") == F.col("first"))
 
     def covered(t: DataFrame) -> DataFrame:
