@@ -142,11 +142,11 @@ def _collect_ngrams(languages: list[str]):
                 lang = np.array([at[name] for name in b.column("lang").to_pylist()])
                 x, text, _ = characters(b.column("text").to_pylist())
                 for h, own in ngrams(x, text):
-                    pair = np.unique(np.stack([own.astype(T.U64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), T.U64)
-                    of = lang[pair[:, 0].astype(np.int64)]
+                    one, _ = T.distinct(h, own.astype(T.U64))
+                    of = lang[own[one]]
                     for k in np.unique(of):
-                        seen.setdefault(int(k), []).append(pair[of == k, 1])
-                    held += len(pair)
+                        seen.setdefault(int(k), []).append(h[one[of == k]])
+                    held += len(one)
                 if held > 4_000_000:
                     yield from out()
                     held = 0
