@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import fair_mix
 from tidelog.llm._scratch import folder, held_out, learning_rows
+from tidelog.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,4 +105,3 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_dac_tokens": op10_dac_tokens,
 }
-ORACLES: dict[str, str] = {"op5_fair_mix": fair_mix.SQL}
