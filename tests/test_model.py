@@ -236,5 +236,19 @@ def test_range_delete_and_overlay(spark):
     assert got == {1: "pZZ   ", 2: "   Q  "}
 
 
+def test_bad_segments_and_endless_workloads(spark, sf):
+    rows = gc.placed(read_log(spark, sf))
+    bad = spark.createDataFrame([(0,)], "segment long")
+    assert gc.without(rows, bad).count() == rows.filter("segment <> 0").count() < rows.count()
+    stream = workloads.rate_stream(spark, 0, 100)
+    assert stream.isStreaming and stream.columns == ["i", "op", "k", "key_str"]
+
+
+def test_packed_pages_find_without_decoding(spark, sf):
+    state = read.latest_state(read_log(spark, sf)).filter("NOT is_deleted")
+    r = state.first()
+    assert pages.delta_find(pages.delta_encode(state), r.inode, r.block).count() == 1
+
+
 def test_writes_are_the_three_kinds(spark, sf):
     assert {r.op for r in writes(read_log(spark, sf)).select("op").distinct().collect()} == {"SET", "RMW", "DELETE"}

@@ -30,7 +30,7 @@ def encode_meta_key(inode: Column, name: Column) -> Column:
 def decode_key(key: Column) -> Column:
     """struct(kind, inode, block, name) of a binary key."""
     kind = F.decode(F.substring(key, 1, 1), "UTF-8")
-    rest = F.expr("NULL") if key is None else F.substring(key, 10, 1 << 30)
+    rest = F.substring(key, 10, 1 << 30)
     return F.struct(
         kind.alias("kind"), from_big_endian(F.substring(key, 2, 8)).alias("inode"),
         F.when(kind == "d", from_big_endian(rest)).alias("block"), F.when(kind == "m", F.decode(rest, "UTF-8")).alias("name"),

@@ -87,7 +87,7 @@ def range_get(state: DataFrame, start_key: str, n: int, inclusive: bool = True)
     return rows.orderBy("key_str").limit(min(n, GEOMETRY.scan_row_cap))
 
 
-def bounds(probes: DataFrame, keys: DataFrame, by: str = "inode", at: str = "block", bucket: int = 1 << 20) -> DataFrame:
+def bounds(probes: DataFrame, keys: DataFrame, by: str = "inode", at: str = "block") -> DataFrame:
     """For each probe, the greatest key <= it (floor) and the least key >= it (lower_bound) of its
     prefix: keys and probes in one ordered window, no range join."""
     both = keys.select(by, at, F.col(at).alias("k"), F.lit(None).cast("long").alias("probe")).unionByName(probes.select(by, at, F.lit(None).cast(keys.schema[at].dataType).alias("k"), F.col("probe").cast("long").alias("probe")))

@@ -6,7 +6,7 @@ extension: rows of aborted tids are an anti-join away.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.read import latest
@@ -73,9 +73,7 @@ def vectors(log: DataFrame) -> DataFrame:
     return log.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("requests")).withColumn("complete", F.size("requests") == 16)
 
 
-def adjacent_tids(log: DataFrame, per: int = 1024) -> DataFrame:
+def adjacent_tids(log: DataFrame) -> DataFrame:
     """Consecutive equal tids of each inode's write queue collapsed to one."""
-    from pyspark.sql import Window
-
     before = F.lag("tid").over(Window.partitionBy("inode").orderBy("seq"))
     return writes(log).select("inode", "seq", "tid", before.alias("before")).filter(F.col("before").isNull() | (F.col("before") != F.col("tid"))).select("inode", "seq", "tid")

@@ -25,7 +25,7 @@ def range_tombstones(deletes: DataFrame) -> DataFrame:
 
 def overlay(value: Column, patch: Column, offset: Column, length: Column) -> Column:
     """value with ``length`` characters or bytes from ``offset`` (0-based) on replaced by the patch."""
-    return F.overlay(value, F.substring(patch, 1, length) if isinstance(length, int) else patch, offset + 1, length)
+    return F.overlay(value, patch, offset + 1, length)
 
 
 def read_modify_write(patches: DataFrame, state: DataFrame, size: int = 64) -> DataFrame:

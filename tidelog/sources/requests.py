@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.schema import FILE_OPS, OPCODES, TRACE
+from tidelog.schema import FILE_OPS, OPCODES
 
 _NAMES = {v: k for k, v in OPCODES.items()}
 _FIELDS = {"GET": ("length",), "SET": ("offset", "length"), "RANGEDEL": ("offset",), "RANGEGET": ("offset", "length"), "RMW": ("offset", "length")}
@@ -86,7 +86,7 @@ def trace_lines(log: DataFrame) -> DataFrame:
 
 
 def parse_trace(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Trace rows in the TRACE schema; commits have two fields, meta keys a name instead of a block."""
+    """Trace rows in the schema schema.TRACE; commits have two fields, meta keys a name instead of a block."""
     f = F.split(F.trim(column), r"\s+")
     get = lambda k, kind: F.get(f, F.lit(k)).try_cast(kind)
     meta = F.get(f, F.lit(3)) == "m"
@@ -142,6 +142,3 @@ def parse(lines: DataFrame, protocol: str, column: str = "value") -> DataFrame:
     if protocol not in PROTOCOLS:
         raise ValueError(f"unknown protocol {protocol}; one of {sorted(PROTOCOLS)}")
     return PROTOCOLS[protocol](lines, column)
-
-
-assert len(TRACE) == 10
