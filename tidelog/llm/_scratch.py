@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,7 +21,8 @@ def folder(spark: SparkSession) -> str:
             _local.append(tempfile.mkdtemp(prefix="tidelog-"))
             atexit.register(shutil.rmtree, _local[0], True)
         base = "file://" + _local[0]
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -31,11 +33,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes a table made by written(), once no later plan reads it."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+def clear(spark: SparkSession) -> None:
+    """Removes all folders made so far, once no result that reads them is needed any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

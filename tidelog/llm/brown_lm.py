@@ -82,7 +82,7 @@ def _count(key_rows, columns: list[str]):
                 yield from give(counter.add(key_rows(b.column("text"))))
         yield from give(counter.rest())
 
-    return run
+    return T.lean(run)
 
 
 def exchange(counts: np.ndarray, n_classes: int, fixed: int, sweeps: int = 12) -> np.ndarray:
@@ -227,7 +227,7 @@ def _score(model, kind: str):
                 yield pa.RecordBatch.from_pydict(out | {"tail": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))})
                 rid += b.num_rows
 
-    return run
+    return T.lean(run)
 
 
 def score(docs: DataFrame, model: Model, vocab: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -209,7 +209,7 @@ def _write(vocabulary: str, end: int):
                 yield pa.RecordBatch.from_pydict(out | {"payload": pa.array([pack(ids, off, b.column("doc_id").to_pylist())], pa.binary())})
                 page, tokens, rows = page + 1, tokens + len(ids), rows + b.num_rows
 
-    return run
+    return T.lean(run)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -236,7 +236,7 @@ def _read(with_ids: bool):
                     out["ids"] = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return run
+    return T.lean(run)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:

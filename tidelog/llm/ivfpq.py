@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import _text as T
 from tidelog.llm._scratch import written
 
 SHARD = 1024
@@ -131,7 +132,7 @@ def _encode(index):
                 own, codes = index.value.encode(matrix(b.column("embedding")))
                 yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "embedding": b.column("embedding"), "list": pa.array(own.astype(np.int32)), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
-    return run
+    return T.lean(run)
 
 
 def encode(vectors: DataFrame, index: Index) -> DataFrame:
@@ -161,9 +162,10 @@ def _send(index, plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = plan
         shards = int((first + n).max())
+        step = max(1, min(1024, (4 << 20) // (shards + 1)))
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 lists = index.value.probed(matrix(part.column("embedding")))
                 wanted = np.zeros((part.num_rows, shards + 1), np.int32)
                 for k in range(len(first)):  # +1 where a probed list's shards begin, -1 behind them
@@ -174,7 +176,7 @@ def _send(index, plan):
                     taken = part.take(pa.array(row[k : k + 4096]))
                     yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[k : k + 4096].astype(np.int32)), "vec_id": taken.column("vec_id"), "embedding": taken.column("embedding")})
 
-    return run
+    return T.lean(run)
 
 
 def _answer(index, k: int):
@@ -214,7 +216,7 @@ def _answer(index, k: int):
                     for k in range(0, len(ids), 512):
                         yield best(*held, ids[k : k + 512], x[k : k + 512])
 
-    return run
+    return T.lean(run)
 
 
 def search(inverted: DataFrame, queries: DataFrame, index: Index, k: int = 20) -> DataFrame:

@@ -102,7 +102,7 @@ def _count(length: int):
                     yield from give(counter.add(h))
         yield from give(counter.rest())
 
-    return run
+    return T.lean(run)
 
 
 def _emit(length: int, passing, with_bytes: bool):
@@ -131,7 +131,7 @@ def _emit(length: int, passing, with_bytes: bool):
                     if len(n):
                         yield pa.RecordBatch.from_pydict(out)
 
-    return run
+    return T.lean(run)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -268,7 +268,7 @@ def _sorted_out(length: int):
         if parts:
             yield solve(parts)
 
-    return run
+    return T.lean(run)
 
 
 def _cut(length: int):
@@ -298,7 +298,7 @@ def _cut(length: int):
                 data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(buf[T.spans_index(start, size)])])
                 yield pa.RecordBatch.from_pydict({"mh": pa.array(k.view(np.int64)), "d": pa.array(d), "th": pa.array(th), "pos": pa.array(pos), "n": pa.array(n), "c1": pa.array(c1.view(np.int64)), "c2": pa.array(c2.view(np.int64)), "bytes": data})
 
-    return run
+    return T.lean(run)
 
 
 def _finish_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,4 +368,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_doc = gone.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # at most as many as the document has windows
     kind = docs.schema[doc_id].dataType.simpleString()
     done = keyed.join(per_doc, ["d", "th"], "left").select("doc_id", "text", "spans")
-    return done.mapInArrow(_finish_docs, f"doc_id {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string")
+    return done.mapInArrow(T.lean(_finish_docs), f"doc_id {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string")

@@ -151,7 +151,7 @@ def _run(model_file: str):
                 words, tokens, score = _counters[model_file].count(b.column("text"))
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_pretokens": pa.array(words), "n_tokens": pa.array(tokens), "score": pa.array(score)})
 
-    return run
+    return T.lean(run)
 
 
 def count_tokens(docs: DataFrame, model_file: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

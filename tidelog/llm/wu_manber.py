@@ -151,7 +151,7 @@ def _report(tables, text: str):
                 out |= {c: pa.array(v, pa.list_(pa.string() if c == "items" else pa.int32())) for c, v in rows.items()}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return run
+    return T.lean(run)
 
 
 def _clean(tables, text: str):
@@ -160,7 +160,7 @@ def _clean(tables, text: str):
             for b in T.slices(whole, text):
                 yield b.filter(pa.array(scan(b.column(text), tables.value)[3] == 0))
 
-    return run
+    return T.lean(run)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int) -> Iterator:
