@@ -152,7 +152,7 @@ def _collect_ngrams(languages: list[str]):
                     held = 0
         yield from out()
 
-    return run
+    return T.lean(run)
 
 
 def learn(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, min_docs: int = 2, min_share: float = 0.1) -> Filters:
@@ -173,8 +173,10 @@ def learn(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text
         kept = held.select("h", "most", F.explode("of").alias("o")).filter((F.col("o.n") >= min_docs) & (F.col("o.share") >= min_share * F.col("most")))
         word, bit = F.floor(F.col("o.lang") / 64), F.expr("shiftleft(1L, o.lang % 64)")
         slot = F.explode(F.array(*(F.shiftrightunsigned("h", 21 * k).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)))).alias("slot")
-        bits = kept.select(word.alias("word"), bit.alias("bit"), slot).groupBy("word", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = kept.select(word.cast("short").alias("word"), bit.alias("bit"), slot).groupBy("word", F.col("slot").cast("int").alias("slot")).agg(F.bit_or("bit").alias("bits")).toArrow()
         masks[bits["word"].to_numpy().astype(np.int64), bits["slot"].to_numpy()] = bits["bits"].to_numpy().view(T.U64)
+        del bits
+    T.give_back()
     return Filters(languages, masks)
 
 
@@ -186,7 +188,7 @@ def _predict(filters, text: str):
                 out = {c: b.column(c) for c in b.schema.names if c != text}
                 yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
-    return run
+    return T.lean(run)
 
 
 def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
