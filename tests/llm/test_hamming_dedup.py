@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import hamming_dedup as H
-from tidelog.llm._components import components
+from tidelog.llm._components import components, joined, roots
 from tidelog.llm.queries import op4_hamming_dedup
 
 
@@ -134,3 +134,21 @@ def test_differing_and_components(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert H.classes(df).count() == 0 and H.keep_one(df).count() == 0
+
+
+def test_forests_and_joined_components(spark):
+    rng = np.random.default_rng(2)
+    up = [(n, int(rng.integers(max(0, n - 3), n))) for n in range(1, 80) if n % 9]
+    got = {r.node: r.comp for r in roots(spark.createDataFrame(up, "node long, up long")).collect()}
+    to = dict(up)
+
+    def root(n):
+        return root(to[n]) if n in to else n
+
+    assert got == {n: root(n) for pair in up for n in pair}
+    labels = roots(spark.createDataFrame(up, "node long, up long"))
+    more = [(1, 78), (200, 201), (5, 6)]
+    after = {r.node: r.comp for r in joined(labels, spark.createDataFrame(more, "u long, v long")).collect()}
+    assert after[200] == after[201] and after[1] == after[78] and len(set(after.values())) < len(set(got.values())) + 1
+    assert {n: after[n] == after[1] for n in got} == {n: got[n] in (got[1], got[78]) for n in got}
+    assert roots(spark.createDataFrame([], "node long, up long")).count() == 0

@@ -32,3 +32,28 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return labels
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, comp) of every node of a forest (node, up: each node once, up smaller than node); comp is
+    the root.  Pointers are doubled until none can be."""
+    while True:
+        above = pointers.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        doubled = written(pointers.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "pointers")
+        pointers = doubled.select("node", "up")
+        if doubled.filter("moved").isEmpty():
+            own = pointers.select(F.col("up").alias("node")).distinct().withColumn("up", F.col("node"))
+            return pointers.union(own).withColumnRenamed("up", "comp")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, comp) after the components that edges (u, v) connect have become one; an end
+    without a label is its own."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = edges.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
+    moved = components(between)
+    if moved.isEmpty():
+        return labels
+    into = moved.withColumnRenamed("node", "old").withColumnRenamed("comp", "new")
+    new = labels.join(into, labels.comp == into.old, "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return written(new.union(moved.join(labels, "node", "left_anti")), "labels")

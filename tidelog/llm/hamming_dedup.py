@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import _text as T
 from tidelog.llm._bloom import bloom, has
-from tidelog.llm._components import components
+from tidelog.llm._components import joined, roots
 from tidelog.llm._scratch import written
 
 VALUES, RADIUS, ERRORS, BLOCK = 96, 35, 1, 1024
@@ -88,7 +88,7 @@ def _describe(k: int):
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(len(first)) * (VALUES // 4), pa.int32()), pa.array(wide.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_pydict({"id": b.column("id"), "row": b.column("row"), "n_shingles": pa.array(np.diff(first)), "s1": pa.array(sums[0]), "s2": pa.array(sums[1]), "sig": sig})
 
-    return run
+    return T.lean(run)
 
 
 def _keys(passing=None):
@@ -115,7 +115,7 @@ def _keys(passing=None):
                     key, own = key[ok], own[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "sid"])
 
-    return run
+    return T.lean(run)
 
 
 def _confirm(k: int, percent: int):
@@ -135,7 +135,7 @@ def _confirm(k: int, percent: int):
                 ok = (100 * shared >= percent * (both[0][2] + both[1][2] - shared)) & (shared > 0)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return run
+    return T.lean(run)
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,30 +152,21 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
     row, column = row[keep], rank[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    n = len(left)
-    m = len(right) if right is not None else n
-    common = np.zeros((n, m), np.float32)
-    for at in range(0, int(often.sum()), 2048):
-        a, b = np.searchsorted(column, [at, at + 2048])
-        x = np.zeros((len(sets), 2048), np.float32)
+    n, start = len(left), 0 if right is None else len(left)
+    common = np.zeros((n, len(sets) - start), np.float32)
+    for at in range(0, int(often.sum()), 512):
+        a, b = np.searchsorted(column, [at, at + 512])
+        x = np.zeros((len(sets), 512), np.float32)
         x[row[a:b], column[a:b] - at] = 1
-        common += x[:n] @ (x[n:] if right is not None else x).T
-    other = size[n:] if right is not None else size
-    linked = (100 * common >= percent * (size[:n, None] + other[None, :] - common)) & (common > 0)
-    up = np.arange(len(sets))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = top(int(i)), top(int(j) + (n if right is not None else 0))
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((int(i), int(j) + (n if right is not None else 0)))
+        common += x[:n] @ x[start:].T
+    label, out = np.arange(len(sets)), []
+    for i in range(n):
+        linked = start + np.flatnonzero((100 * common[i] >= percent * (size[i] + size[start:] - common[i])) & (common[i] > 0))
+        groups, first = np.unique(label[linked], return_index=True)
+        for g, j in zip(groups.tolist(), linked[first].tolist(), strict=True):
+            if g != label[i]:
+                label[label == g] = label[i]
+                out.append((i, j))
     return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 
@@ -205,7 +196,7 @@ def _compare(k: int, percent: int):
         if held:
             yield from solve(task[1], held)
 
-    return run
+    return T.lean(run)
 
 
 def _through(passing, column: str):
@@ -213,7 +204,7 @@ def _through(passing, column: str):
         for b in batches:
             yield b.filter(pa.array(has(passing.value, b.column(column).to_numpy())))
 
-    return run
+    return T.lean(run)
 
 
 def differing(x, y):
@@ -264,9 +255,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
     # links to best leaders, and families
     shares = members.filter("sid <> lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"))
     best = written(near(shares.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), 2 * RADIUS), "best")
-    links = written(confirmed(best), "links")
-    labels = components(links.toDF("u", "v"))
-    families = components(best.toDF("u", "v"))
+    labels = written(roots(confirmed(best).toDF("node", "up")), "labels")
+    families = written(roots(best.toDF("node", "up")), "families")
 
     # pairs that share a key across families
     placed = labelled(members.select("key", "sid"), "sid", families, "family")
@@ -276,7 +266,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
     across = side("a").join(side("b"), "key").filter((F.col("a") > F.col("b")) & (F.col("fa") != F.col("fb")) & (differing(F.col("ga"), F.col("gb")) <= RADIUS))
     across = written(across.select("a", "b").distinct(), "across")
     if not across.isEmpty():
-        families = components(best.union(across).toDF("u", "v"))
+        families = joined(families, across.toDF("u", "v"))
 
     # families with several components, in blocks
     member = labelled(families.withColumnRenamed("node", "sid").withColumnRenamed("comp", "family"), "sid", labels, "part")
@@ -292,12 +282,11 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
     sent = open_.withColumn("block", block).select("family", "sid", "block", F.explode(F.concat(with_loose, with_rest)).alias("pair")).select("family", "pair.i", "pair.j", "block", "sid")
     sent = sent.withColumn("task", F.xxhash64("family", "i", "j")).join(texts, "sid")
     more = sent.repartition("task").sortWithinPartitions("task", "family", "i", "j").mapInArrow(_compare(k, percent), "u long, v long")
-    more = written(more, "links")
-    if not more.isEmpty():
-        labels = components(links.toDF("u", "v").union(more))
+    labels = joined(labels, written(more, "links"))
 
     found = labelled(sets.select("sid", "s1", "s2", "min_id", "row"), "sid", labels, "comp")
     name = found.groupBy("comp").agg(F.min("min_id").alias("component"), F.min_by("row", F.struct(F.col("min_id").isNull(), "min_id", "row")).alias("kept_row"))
+    name = written(name, "names")  # so that the next join stands alone and a large component can be split
     return rows, found.join(name, "comp").select("s1", "s2", "component", "kept_row")
 
 
