@@ -88,3 +88,36 @@ def test_edges(spark):
         assert (by[1].n_tokens, by[3].n_tokens, by[4].n_tokens, by[None].n_tokens) == (1, 1, 30001, 3)
     assert by[1].train_tokens == 0 and by[1].base_score == pytest.approx(0)
     assert B.score(docs.limit(0), *B.learn(docs, F.lit(True))).count() == 0
+
+
+def test_further_words_move_to_their_best_class():
+    rng = np.random.default_rng(7)
+    counts = rng.poisson(1.5, (30, 30)) * rng.integers(1, 12, (30, 30)).astype(float)
+    cls = np.append(0, rng.integers(1, 5, 29))
+    one = np.eye(5)[cls]
+    words = np.arange(1, 30)
+    alone = counts[words, words]
+    rest = counts - np.diag(np.diag(counts))
+    got = B.Moves(one.T @ counts @ one).best(cls[1:], (rest @ one)[1:], (rest.T @ one)[1:], alone)
+    for w in words:
+        each = [likelihood(counts, np.where(np.arange(30) == w, c, cls), 5) for c in range(1, 5)]
+        assert each[got[w - 1] - 1] == pytest.approx(max(each), abs=1e-6)
+    assert (got != cls[1:]).any()
+
+
+def test_every_learning_word_has_a_class_by_its_own_bigrams(spark, monkeypatch):
+    """Beyond the exchanged words, words of one suffix group part by what stands around them."""
+    monkeypatch.setattr(B, "WORDS", 6)
+    docs = [(k, "left p right up q down " * 5 + f"left x{k % 20}same right up y{k % 20}same down") for k in range(60)]
+    m, further = B.learn(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True))
+    rows = {r.key: (r.n, r.cls) for r in further.collect()}
+    c = Counter(w for _, t in docs for w in words(t))
+    import pyarrow as pa
+
+    names = sorted(w for w in c if w)
+    key = dict(zip(names, B.tokens(pa.array(names))[0][::2].view(np.int64).tolist(), strict=True))
+    top = {k for k in np.asarray(list(key.values()))[m.elements.of(np.array(list(key.values())).view(np.uint64)) < m.elements.n_words].tolist()}
+    assert len(top) == m.elements.n_words and set(rows) == set(key.values()) - top
+    assert all(rows[key[w]][0] == c[w] for w in names if key[w] not in top)
+    xs, ys = ({rows[key[w]][1] for w in names if w[0] == a and w.endswith("same")} for a in "xy")
+    assert xs and ys and not xs & ys  # one suffix group
