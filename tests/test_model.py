@@ -252,3 +252,14 @@ def test_packed_pages_find_without_decoding(spark, sf):
 
 def test_writes_are_the_three_kinds(spark, sf):
     assert {r.op for r in writes(read_log(spark, sf)).select("op").distinct().collect()} == {"SET", "RMW", "DELETE"}
+
+
+def test_placement_grows_with_the_keys(spark):
+    n = 2000  # the 16 tables of 63 places x
+    ks = spark.range(n).selectExpr("concat('k', id) AS key_str")
+    placed = hashmap.place(ks, 128).collect()
+    assert len({(r.table, r.address) for r in placed if r.address is not None}) == len(placed) == n
+    assert hashmap.tables_for(1500, 128) == 16 and hashmap.tables_for(n, 128) == 32
+    assert hashmap.load_factor(hashmap.place(ks, 128), 128, 16).first().filled == n
+    with pytest.raises(Exception, match="has no place"):
+        hashmap.place(ks, 128, tables=8).collect()

@@ -22,11 +22,22 @@ def first_probe(keys: DataFrame, slots: int) -> DataFrame:
     return at.withColumn("n", F.count("*").over(Window.partitionBy("address")))
 
 
-def place(keys: DataFrame, slots: int, tables: int = 16, max_probes: int = 64) -> DataFrame:
+def tables_for(n: int, slots: int, load: float = 0.75, least: int = 16) -> int:
+    """The least number of tables, doubled from ``least``, that n keys fill to ``load`` at most."""
+    tables = least
+    while n > load * tables * (slots - 1):
+        tables *= 2
+    return tables
+
+
+def place(keys: DataFrame, slots: int, tables: int | None = None) -> DataFrame:
     """(key_str, table, address, probes) after inserting all keys in key order.
 
     Probing is a state machine over one table, so keys are dealt to ``tables`` tables by their hash and
-    each table is filled by one task, in order.  A key finds no place after max_probes: address null."""
+    each table is filled by one task, in order; None takes as many as the keys need (tables_for).  Probe
+    addresses repeat after slots - 1 probes: a key that has found no place by then raises an error."""
+    if tables is None:
+        tables = tables_for(keys.count(), slots)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, taken = None, None
@@ -35,7 +46,7 @@ def place(keys: DataFrame, slots: int, tables: int = 16, max_probes: int = 64) -
             for t, h in zip(b["table"].tolist(), b["h"].tolist(), strict=True):
                 if t != table:
                     table, taken = t, np.zeros(slots + 1, bool)
-                for c in range(max_probes):
+                for c in range(slots - 1):
                     a = (h + c + c * c) % (slots - 1) + 1
                     if not taken[a]:
                         taken[a] = True
@@ -43,11 +54,12 @@ def place(keys: DataFrame, slots: int, tables: int = 16, max_probes: int = 64) -
                         probes.append(c)
                         break
                 else:
-                    address.append(None)
-                    probes.append(max_probes)
+                    raise ValueError(f"table {t} has no place for a key of hash {h}")
             yield pd.DataFrame({"key_str": b["key_str"], "table": b["table"], "address": pd.array(address, "Int64"), "probes": pd.array(probes, "Int64")})
 
-    dealt = hashed(keys.select("key_str")).withColumn("table", F.pmod(F.shiftrightunsigned("h", 16), F.lit(tables)))
+    # h has 16 bits above these; more tables take further bits of another hash
+    high = F.shiftrightunsigned("h", 16) + F.shiftleft(F.pmod(F.xxhash64("key_str"), F.lit(1 << 31)), 16)
+    dealt = hashed(keys.select("key_str")).withColumn("table", F.pmod(high, F.lit(tables)))
     return dealt.repartition("table").sortWithinPartitions("table", "key_str").mapInPandas(fill, "key_str string, table long, address long, probes long")
 
 
