@@ -263,3 +263,8 @@ def test_placement_grows_with_the_keys(spark):
     assert hashmap.load_factor(hashmap.place(ks, 128), 128, 16).first().filled == n
     with pytest.raises(Exception, match="has no place"):
         hashmap.place(ks, 128, tables=8).collect()
+
+
+def test_cursor_gives_whole_values(spark):
+    state = spark.createDataFrame([(1, 0, "k", 1.0, "v" * 300, False)], "inode long, block long, key_str string, value double, payload string, is_deleted boolean")
+    assert [len(read.cursor(state, 5, cut_values=cut).first().payload) for cut in (False, True)] == [300, 152]

@@ -92,7 +92,7 @@ _PAGE = """SELECT inode, row_number() OVER p AS pos, block, key_str, value, subs
 
 @query(f"{_LOG}, page AS ({_PAGE.format(rows='live', n=5)}) SELECT inode, pos::INT AS pos, block, key_str, value, payload, has_more FROM page WHERE pos <= 5")
 def prefix_scan_kv(spark, sf_dir):
-    return read.cursor(_state(spark, sf_dir), 5, start_block=10)
+    return read.cursor(_state(spark, sf_dir), 5, start_block=10, cut_values=True)  # as its SQL
 
 
 @query(f"{_LOG}, page AS ({_PAGE.format(rows='live', n=5)}) SELECT inode, pos::INT AS pos, block, key_str, has_more FROM page WHERE pos <= 5")
@@ -102,7 +102,7 @@ def prefix_scan_keys(spark, sf_dir):
 
 @query(f"{_LOG}, page AS ({_PAGE.format(rows='latest', n=5)}) SELECT inode, pos::INT AS pos, block, key_str, value, payload, has_more FROM page WHERE pos <= 5 AND NOT is_deleted")
 def scan_page_compat(spark, sf_dir):
-    return read.cursor(_state(spark, sf_dir), 5, start_block=10, filter_first=False)
+    return read.cursor(_state(spark, sf_dir), 5, start_block=10, filter_first=False, cut_values=True)
 
 
 @query(f"{_LOG} SELECT inode, count(*) > 5 AS has_more FROM live WHERE block > 10 GROUP BY inode")

@@ -48,9 +48,10 @@ def multi_get(requests: DataFrame, state: DataFrame, length: Column | int = 8) -
     return wanted.join(live, ["inode", "block"], "left").select("req", "pos", "inode", "block", F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
-def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = True, keys_only: bool = False, filter_first: bool = True) -> DataFrame:
+def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = True, keys_only: bool = False, filter_first: bool = True, cut_values: bool = False) -> DataFrame:
     """One page of each prefix (inode): its first n rows from start_block on, in key order, and
     whether more remain.  filter_first=False counts tombstones towards n before they are dropped.
+    cut_values gives the first characters of a payload only, as many as GEOMETRY.scan_value_bytes.
 
     Only n + 1 rows of a prefix can be in its page, so a rank limit lets Spark drop the others before
     the shuffle."""
@@ -62,7 +63,8 @@ def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = Tru
     order = Window.partitionBy("inode").orderBy("block")
     ranked = rows.select("inode", "block", "key_str", "value", "payload", "is_deleted", F.row_number().over(order).alias("pos")).filter(F.col("pos") <= n + 1)
     ranked = ranked.withColumn("has_more", F.max("pos").over(Window.partitionBy("inode")) > n).filter((F.col("pos") <= n) & ~F.col("is_deleted"))
-    page = ranked.select("inode", "pos", "block", "key_str", "value", F.substring("payload", 1, GEOMETRY.scan_value_bytes).alias("payload"), "has_more")
+    payload = F.substring("payload", 1, GEOMETRY.scan_value_bytes) if cut_values else F.col("payload")
+    page = ranked.select("inode", "pos", "block", "key_str", "value", payload.alias("payload"), "has_more")
     return page.drop("value", "payload") if keys_only else page
 
 
