@@ -24,7 +24,7 @@ ROWS = [(k, "w " * (k % 7 + 1), ["a", "b", None, "é", "tiny"][k % 5] if k % 50
 ]
 
 
-def brute(rows, last=(None,)):
+def brute(rows, last=(None,), quantum=256):
     size = lambda t: len(re.findall(M.WORDS, t or ""))
     sources = sorted({s for _, _, s, _ in rows if s is not None}) + list(last or ())
     total = {s: sum(size(t) for _, t, q, _ in rows if q == s) for s in sources}
@@ -38,22 +38,32 @@ def brute(rows, last=(None,)):
             target |= {s: level * weight[s] for s in free}
             break
         target |= {s: 2.0 * total[s] for s in over}
-    out = []
+    queues, quanta = {}, []
     for s in sources:
         at = 0
-        for _, d, z in sorted((hashlib.md5(str("" if d is None else d).encode()).hexdigest(), -1 if d is None else d, size(t)) for d, t, q, _ in rows if q == s):
-            taken = sum(max(0, min(z, int(target[s]) - at - e * total[s])) for e in (0, 1))
-            out.append((-1 if d is None else d, z, total[s], round(target[s], 6), taken))
+        queues[s] = sorted((hashlib.md5(str("" if d is None else d).encode()).hexdigest(), -1 if d is None else d, size(t)) for d, t, q, _ in rows if q == s)
+        for place, (_, _, z) in enumerate(queues[s]):
+            for e in (0, 1):
+                start = at + e * total[s]
+                for k in range(0, z, quantum):
+                    upto = start + min(z, k + quantum)
+                    quanta.append((upto / target[s], "n" if s is None else f"s{s}", upto, min(quantum, z - k), s, place))
             at += z
-    return sorted(out)
+    taken, left = {}, int(min(1.5, 2) * sum(total.values()))
+    for *_, words, s, place in sorted(quanta):  # in order of virtual finish times, up to the budget
+        taken[s, place] = taken.get((s, place), 0) + min(words, left)
+        left -= min(words, left)
+    return sorted((d, z, total[s], round(target[s], 6), taken.get((s, k), 0)) for s in sources for k, (_, d, z) in enumerate(queues[s]))
 
 
 def test_edges_against_brute_force(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string, n_chars long").selectExpr("*", "1 AS size", "2 AS copies")
-    rows = M.schedule(docs, ["doc_id"]).collect()
-    got = sorted((-1 if r.row.doc_id is None else r.row.doc_id, r["size"], r.source_size, round(r.target, 6), sum(c.taken for c in r.copies)) for r in rows)
-    assert got == brute(ROWS)
-    assert [r.virtual_finish for r in rows] == sorted(r.virtual_finish for r in rows)
+    for quantum in (256, 3):
+        rows = M.schedule(docs, ["doc_id"], quantum=quantum).collect()
+        got = sorted((-1 if r.row.doc_id is None else r.row.doc_id, r["size"], r.source_size, round(r.target, 6), sum(c.taken for c in r.copies)) for r in rows)
+        assert got == brute(ROWS, quantum=quantum)
+        assert sum(t for *_, t in got) == int(1.5 * sum(z for _, z, *_ in got))
+    got = brute(ROWS)
     mixed = M.mix(docs)
     assert mixed.columns == docs.columns
     words = sum(len(re.findall(M.WORDS, r.text)) for r in mixed.collect())
@@ -64,3 +74,18 @@ def test_edges_against_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string, n_chars long").limit(0)
     assert M.schedule(docs, ["doc_id"]).count() == 0 and M.mix(docs).count() == 0
+
+
+def test_the_order_of_service_decides(spark, sf, monkeypatch):
+    query = lambda: {r.doc_id: r.taken for r in op5_fair_mix(spark, sf).collect()}
+    fair = query()
+    monkeypatch.setattr(M, "ORDER", ("queue", "upto", "finish"))
+    assert query() != fair and sum(query().values()) == sum(fair.values())
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a", 1), (2, "v " * 10, "a", 1), (3, "u " * 200_000, "b", 1)], "doc_id long, text string, source string, n_chars long")
+    rows = {r.row.doc_id: r for r in M.schedule(docs, ["doc_id"]).collect()}
+    for own in ((1, 2), (3,)):
+        assert abs(sum(c.taken for d in own for c in rows[d].copies) - rows[own[0]].target) <= 2 * 256
+    assert sum(len(r.text.split()) for r in M.mix(docs).collect()) == int(1.5 * 500_010)
