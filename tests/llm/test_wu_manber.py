@@ -1,8 +1,12 @@
 import hashlib
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from tidelog.llm.queries import op8_wu_manber
-from tidelog.llm.wu_manber import clean, passages
+from tidelog.llm.wu_manber import PER_WORD, build, clean, passages, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -53,13 +57,13 @@ def test_edges_blocks_and_clean(spark):
     docs = spark.createDataFrame(EDGES, "doc_id long, text string").selectExpr("*", "1 AS n_words", "'k' AS items")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute(EDGES, ITEMS)
-    for block in (1 << 20, 30):
-        rows = passages(docs, bench, block_bytes=block).collect()
+    for block in (1 << 20, 700):
+        rows = passages(docs, bench, table_bytes=block).collect()
         assert len(rows) == len(EDGES)
         for r in rows:
             assert (r.n_words, r.n_hit, r["items"]) == want[r.doc_id]
             assert sum(r.span_ends) - sum(r.span_starts) == r.n_hit
-        kept = clean(docs, bench, block_bytes=block)
+        kept = clean(docs, bench, table_bytes=block)
         assert kept.columns == docs.columns
         assert sorted(x.doc_id for x in kept.collect()) == sorted(d for d, _ in EDGES if d and want[d][1] == 0)
 
@@ -70,3 +74,17 @@ def test_empty_tables(spark):
     assert passages(docs.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 for r in passages(docs, bench.limit(0)).collect())
     assert clean(docs, bench.limit(0)).count() == len(EDGES)
+
+
+def test_memory_of_a_large_benchmark():
+    rng = np.random.default_rng(5)
+    words_ = np.array([f"w{k}" for k in rng.integers(0, 200_000, 2_500_000)])
+    texts = pa.array([" ".join(words_[k : k + 2500]) for k in range(0, len(words_), 2500)])
+    assert texts.nbytes > 16 << 20
+    tracemalloc.start()
+    block = build(pa.array([str(k) for k in range(len(texts))]), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block.nbytes <= texts.nbytes + PER_WORD * len(words_) and peak < 500 << 20
+    first, hit, pairs, n_hit = scan(pa.array([" ".join(["no", *words_[100:130], "no"]), " ".join(words_[2495:2505])]), block)
+    assert n_hit.tolist() == [30, 0] and pairs.tolist() == [[0], [block.names.index("0")]]

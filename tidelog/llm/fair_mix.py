@@ -9,8 +9,9 @@ truncated where the running total meets the budget; the quantum in service there
 What comes before the cut is the mixture, so every source gets its target but for a quantum or so.
 
 Running total: the range sort deals the quanta to ranges, each range's words are summed (one row a
-range), the range that holds the cut follows from these sums, and a window runs within that range
-only.  The cut itself is one row; a document's share follows from comparing its quanta with it.
+range), and the range that holds the cut follows from these sums.  That range is sorted into ranges
+again until it has at most FEW rows, over which a window runs.  The cut itself is one row; a
+document's share follows from comparing its quanta with it.
 
 Targets: sources by code point (null last) weigh ``weights``, repeated; together they get ``share``
 times all words.  No target exceeds ``most`` times its source's words: the excess is shared again by
@@ -36,6 +37,8 @@ from tidelog.llm._scratch import written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: What the quanta are sorted by.
 ORDER = ("finish", "queue", "upto")
+#: A range of this many rows is not divided again.
+FEW = 4096
 
 
 def _queued(docs: DataFrame, columns: list[str], doc_id: str, text: str, source: str) -> DataFrame:
@@ -75,20 +78,21 @@ def cut(served: DataFrame, budget: int) -> dict | None:
     """The quantum of served (ORDER's columns, words) in whose service the running total over the global
     order meets the budget: ORDER's columns and ``words``, how many of its words are taken; None if
     there is no such quantum, so that all are taken."""
-    spark = served.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = served.repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id())
-    ranged = written(ranged, "ranges")  # so that ranges stay what they are, whatever is computed again
-    sums = ranged.groupBy("range").agg(F.sum("words").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a range
-    at = sums.withColumn("upto", upto).filter(F.col("upto") >= budget).orderBy("range").first()
-    if at is None or budget <= 0:
-        return None
-    inside = ranged.filter(F.col("range") == at["range"])
-    running = F.sum("words").over(Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = at["upto"] - at["n"]
-    last = inside.withColumn("running", running + before).filter(F.col("running") >= budget).orderBy("running").first()
-    return {c: last[c] for c in ORDER} | {"words": budget - (last["running"] - last["words"])}
+    n = max(32, int(served.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    running = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a range
+    before, rows = 0, FEW + 1
+    while rows > FEW:
+        ranged = served.repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id())
+        ranged = written(ranged, "ranges")  # so that ranges stay what they are, whatever is computed again
+        sums = ranged.groupBy("range").agg(F.sum("words").alias("n"), F.count("*").alias("rows")).withColumn("upto", running + before)
+        at = sums.filter(F.col("upto") >= budget).orderBy("range").first()
+        if at is None:
+            return None
+        before, rows = at["upto"] - at["n"], at["rows"]
+        served = ranged.filter(F.col("range") == at["range"]).drop("range")
+    total = F.sum("words").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + before
+    last = served.withColumn("total", total).filter(F.col("total") >= budget).orderBy("total").first()
+    return {c: last[c] for c in ORDER} | {"words": budget - (last["total"] - last["words"])}
 
 
 def schedule(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, quantum: int = 256) -> DataFrame:
@@ -114,9 +118,12 @@ def schedule(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text:
     copies = F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))
     served = narrow.select(F.explode(F.flatten(F.transform(copies, lambda k: quanta(k, quantum)))).alias("q")).select("q.*")
     words = sizes.agg(F.sum("size")).first()[0] or 0
-    last = cut(served, int(min(share, most) * words))
+    budget = int(min(share, most) * words)
+    last = cut(served, budget) if budget > 0 else None
 
-    if last is None:
+    if budget <= 0:
+        taken_of = lambda q: F.lit(0).cast("long")
+    elif last is None:
         taken_of = lambda q: q["words"]
     else:
         edge = F.struct(*(F.lit(last[c]).cast(served.schema[c].dataType).alias(c) for c in ORDER))
