@@ -75,8 +75,9 @@ def variants(seed=3, copies=60):
     return [(None if d is None else int(d), t) for d, t in docs]
 
 
-@pytest.mark.parametrize(("k", "block"), [(2, 1024), (5, 1024), (2, 7)])
-def test_edges_and_near_copies(spark, k, block, monkeypatch):
+@pytest.mark.parametrize(("k", "light", "block"), [(2, 32, 256), (5, 32, 256), (2, 3, 7)])
+def test_edges_and_near_copies(spark, k, light, block, monkeypatch):
+    monkeypatch.setattr(H, "LIGHT", light)
     monkeypatch.setattr(H, "BLOCK", block)
     docs = variants()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS sid", "2 AS row")
@@ -152,3 +153,18 @@ def test_forests_and_joined_components(spark):
     assert after[200] == after[201] and after[1] == after[78] and len(set(after.values())) < len(set(got.values())) + 1
     assert {n: after[n] == after[1] for n in got} == {n: got[n] in (got[1], got[78]) for n in got}
     assert roots(spark.createDataFrame([], "node long, up long")).count() == 0
+
+
+def test_template_pages_are_few_candidates(spark, monkeypatch):
+    """Pages that share a template but are not near: no pairs come out of crowded keys."""
+    rng = np.random.default_rng(8)
+    template = [f"t{k}" for k in range(59)]
+    docs = [(k, " ".join(template + [f"w{x}" for x in rng.integers(0, 1 << 40, 31)])) for k in range(600)]
+    docs += [(1000 + k, docs[k][1] + " more") for k in range(5)]
+    seen = {}
+    kept = H.written
+    monkeypatch.setattr(H, "written", lambda df, name="table": seen.setdefault(name, []).append(kept(df, name)) or seen[name][-1])
+    rows = {r.doc_id: r.component_id for r in H.classes(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+    assert rows == {d: d - 1000 if d >= 1000 else d for d, _ in docs}
+    assert seen["crowd"][0].count() > 100  # most meet in crowded keys
+    assert sum(t.count() for t in seen["pairs"]) < 20 * len(docs) and sum(t.count() for t in seen["open"]) < 100 * len(docs)

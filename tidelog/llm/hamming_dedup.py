@@ -12,17 +12,22 @@ links with nothing).  Documents link if their sets' Jaccard similarity is at lea
     RADIUS < CHUNKS * (1 + ERRORS) has a chunk with at most one different value, so the allowed error is
     enumerated: each chunk yields one key for each of its values, made of the others.  All pairs within
     the radius share a key.
-4.  No key is expanded into its pairs.  A class's best leader is the smallest class of a key, of those
-    the one with which it shares most keys; a link to it is looked for first.  Best leaders within
-    2 * RADIUS also make families.  A pair within the radius is in one family, or else it shares a key
-    across families, is found there by its distance, and joins them (rare, so few rows).
-5.  A family whose links to best leaders leave several components is searched in blocks of about
-    BLOCK classes: all pairs of a block with a class outside the family's largest component are
-    compared by one product of 0/1 matrices, and only links that join components come out.  Pairs
-    inside the largest component need no comparison, so copies of one text cost nothing here.
-6.  Links are confirmed on the full shingle sets of both texts.  Components are contracted in rounds.
-
-Null texts are empty.  Rows with a null id take part but name no component unless all ids of theirs
+4.  No crowded key is expanded into its pairs.  A class's best leader is the smallest class of a key, of
+    those the one with which it shares most keys; a link to it is looked for first.  Copies of one text
+    become one component here, and a key whose classes are in one component is done with.
+5.  A key of at most LIGHT classes gives its pairs of different components.  A key of more (the minima of
+    a template or popular passage) is split further, by an exact rule: of two sets that are similar
+    enough, the rarest shingles (all but percent / 100 of a set, and one more) have one in common.  So
+    the classes of crowded keys meet again by their rarest shingles that two or more of them hold; a
+    template's shingles are never among the rarest of texts that differ in more than that.
+6.  A shingle of at most LIGHT classes gives its pairs of different components.  What still crowds is
+    nearly equal: its classes are compared in blocks of about BLOCK classes and SHINGLES shingles, each
+    class outside the shingle's largest component with all others, by products of 0/1 matrices, and
+    only links that join components come out.
+7.  Pairs of steps 4 to 6 are measured by their signatures; those within the radius are confirmed on the
+    full shingle sets of both texts.  Components are contracted in rounds.
+
+Null texts are empty; texts of any length are taken whole.  Rows with a null id take part but name no component unless all ids of theirs
 are null (then component_id is null); rows with one id are judged row by row.  Extra columns are
 ignored by ``classes`` and kept by ``keep_one``.  Empty tables give no rows.
 """
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import _text as T
@@ -41,7 +46,7 @@ from tidelog.llm._bloom import bloom, has
 from tidelog.llm._components import joined, roots
 from tidelog.llm._scratch import written
 
-VALUES, RADIUS, ERRORS, BLOCK = 96, 35, 1, 1024
+VALUES, RADIUS, ERRORS, LIGHT, BLOCK, SHINGLES = 96, 35, 1, 32, 256, 1 << 18
 CHUNKS = RADIUS // (1 + ERRORS) + 1
 _A = T.mix(np.arange(1, VALUES + 1, dtype=T.U64) * T._MUL) | T.U64(1)
 
@@ -171,7 +176,7 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 
 
 def _compare(k: int, percent: int):
-    """Links of tasks (family, i, j) that come sorted, whose rows carry a block (i or j), sid and text."""
+    """Links of tasks (token, i, j) that come sorted, whose rows carry a block (i or j), sid and text."""
 
     def solve(i: int, rows: list[tuple[int, int, np.ndarray]]):
         sides = [[(s, x) for b, s, x in rows if (b == i) == first] for first in (True, False)]
@@ -187,7 +192,7 @@ def _compare(k: int, percent: int):
         for whole in batches:
             for b in T.slices(whole, "text", 1 << 20):
                 sets, first = shingles(b.column("text"), k)
-                for n, (*own, block, sid) in enumerate(zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "block", "sid")), strict=True)):
+                for n, (*own, block, sid) in enumerate(zip(*(b.column(c).to_pylist() for c in ("token", "i", "j", "block", "sid")), strict=True)):
                     if own != task:
                         if held:
                             yield from solve(task[1], held)
@@ -199,6 +204,19 @@ def _compare(k: int, percent: int):
     return T.lean(run)
 
 
+def _tokens(k: int):
+    """Rows (token, sid, size) of the distinct shingles of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in T.slices(whole, "text", 1 << 20):
+                sets, first = shingles(b.column("text"), k)
+                n = np.diff(first)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(sets.view(np.int64)), "sid": pa.array(np.repeat(b.column("sid").to_numpy(), n)), "size": pa.array(np.repeat(n, n))})
+
+    return T.lean(run)
+
+
 def _through(passing, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,37 +270,58 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
     def labelled(t: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
         return t.join(labels.select(F.col("node").alias(column), F.col("comp").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
-    # links to best leaders, and families
+    def crowds(placed: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+        """placed(by, sid, comp) without groups of one component: those of few rows, and those of many."""
+        sums = placed.groupBy(by).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        sums = written(sums.select(by, "n"), "open")
+        return placed.join(sums.filter(F.col("n") <= LIGHT).select(by), by), placed.join(sums.filter(F.col("n") > LIGHT).select(by), by)
+
+    def pairs_of(groups: DataFrame, by: str) -> DataFrame:
+        """Pairs of different components of groups of at most LIGHT rows."""
+        rows = groups.groupBy(by).agg(F.collect_list(F.struct("sid", "comp")).alias("g"))
+        others = lambda x: F.transform(F.filter("g", lambda y: (y["sid"] < x["sid"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b")))
+        return rows.select(F.explode(F.flatten(F.transform("g", others))).alias("p")).select("p.*").distinct()
+
+    def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = written(confirmed(written(near(written(pairs, "pairs"), RADIUS), "near")), "links")
+        return joined(labels, links.toDF("u", "v"))
+
+    # links to best leaders
     shares = members.filter("sid <> lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n"))
-    best = written(near(shares.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), 2 * RADIUS), "best")
+    best = written(near(shares.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), RADIUS), "best")
     labels = written(roots(confirmed(best).toDF("node", "up")), "labels")
-    families = written(roots(best.toDF("node", "up")), "families")
-
-    # pairs that share a key across families
-    placed = labelled(members.select("key", "sid"), "sid", families, "family")
-    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("key")
-    placed = written(placed.join(mixed, "key").join(sigs, "sid"), "mixed")
-    side = lambda c: placed.select("key", F.col("sid").alias(c), F.col("family").alias(f"f{c}"), F.col("sig").alias(f"g{c}"))
-    across = side("a").join(side("b"), "key").filter((F.col("a") > F.col("b")) & (F.col("fa") != F.col("fb")) & (differing(F.col("ga"), F.col("gb")) <= RADIUS))
-    across = written(across.select("a", "b").distinct(), "across")
-    if not across.isEmpty():
-        families = joined(families, across.toDF("u", "v"))
-
-    # families with several components, in blocks
-    member = labelled(families.withColumnRenamed("node", "sid").withColumnRenamed("comp", "family"), "sid", labels, "part")
-    parts = written(member.groupBy("family", "part").agg(F.count("*").alias("n")), "parts")
-    largest = parts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("n > most")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    largest = largest.select("family", "largest", blocks(F.col("n") - F.col("most")).alias("p"), blocks(F.col("most")).alias("m"))
-    open_ = member.join(largest, "family").withColumn("loose", F.col("part") != F.col("largest"))
-    dealt = F.xxhash64("sid")
-    block = F.when(F.col("loose"), F.pmod(dealt, "p")).otherwise(F.col("p") + F.pmod(dealt, "m")).cast("int")
-    with_loose = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
-    with_rest = F.when(F.col("loose"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.col("block").alias("i"), (F.col("p") + j).alias("j")))).otherwise(F.array())
-    sent = open_.withColumn("block", block).select("family", "sid", "block", F.explode(F.concat(with_loose, with_rest)).alias("pair")).select("family", "pair.i", "pair.j", "block", "sid")
-    sent = sent.withColumn("task", F.xxhash64("family", "i", "j")).join(texts, "sid")
-    more = sent.repartition("task").sortWithinPartitions("task", "family", "i", "j").mapInArrow(_compare(k, percent), "u long, v long")
-    labels = joined(labels, written(more, "links"))
+
+    # all pairs of small keys
+    light, heavy = crowds(written(labelled(members.select("key", "sid"), "sid", labels, "comp"), "placed"), "key")
+    labels = linked(labels, pairs_of(light, "key"))
+
+    # classes of crowded keys, by their rarest shingles
+    crowd = written(heavy.select("sid").distinct(), "crowd")
+    if not crowd.isEmpty():
+        held = written(texts.join(crowd, "sid").select("sid", "text").mapInArrow(_tokens(k), "token long, sid long, size long"), "tokens")
+        often = written(held.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+        rank = F.row_number().over(Window.partitionBy("sid").orderBy("n", "token")) + F.col("size") - F.count("*").over(Window.partitionBy("sid"))
+        prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+        rarest = written(held.join(often, "token"), "shared").withColumn("rank", rank).filter(F.col("rank") <= prefix).select("token", "sid", "size")
+        rarest = written(rarest, "rarest")
+        light, heavy = crowds(written(labelled(rarest, "sid", labels, "comp"), "placed"), "token")
+        labels = linked(labels, pairs_of(light, "token"))
+
+        # what still crowds, in blocks
+        parts = labelled(heavy.drop("comp"), "sid", labels, "part")
+        sums = written(parts.groupBy("token", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "parts")
+        largest = sums.groupBy("token").agg(F.max_by(F.struct("part", "n", "size"), F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > top.n")
+        blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / SHINGLES)).cast("int")
+        largest = largest.select("token", F.col("top.part").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("p"), blocks(F.col("top.n"), F.col("top.size")).alias("m"))
+        open_ = written(parts.drop("size"), "open").join(written(largest, "largest"), "token").withColumn("loose", F.col("part") != F.col("largest"))
+        dealt = F.xxhash64("sid")
+        block = F.when(F.col("loose"), F.pmod(dealt, "p")).otherwise(F.col("p") + F.pmod(dealt, "m")).cast("int")
+        with_loose = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+        with_rest = F.when(F.col("loose"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.col("block").alias("i"), (F.col("p") + j).alias("j")))).otherwise(F.array())
+        sent = open_.withColumn("block", block).select("token", "sid", "block", F.explode(F.concat(with_loose, with_rest)).alias("pair")).select("token", "pair.i", "pair.j", "block", "sid")
+        sent = sent.withColumn("task", F.xxhash64("token", "i", "j")).join(texts, "sid")
+        more = sent.repartition("task").sortWithinPartitions("task", "token", "i", "j").mapInArrow(_compare(k, percent), "u long, v long")
+        labels = joined(labels, written(more, "links"))
 
     found = labelled(sets.select("sid", "s1", "s2", "min_id", "row"), "sid", labels, "comp")
     name = found.groupBy("comp").agg(F.min("min_id").alias("component"), F.min_by("row", F.struct(F.col("min_id").isNull(), "min_id", "row")).alias("kept_row"))
