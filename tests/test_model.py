@@ -260,7 +260,7 @@ def test_placement_grows_with_the_keys(spark):
     placed = hashmap.place(ks, 128).collect()
     assert len({(r.table, r.address) for r in placed if r.address is not None}) == len(placed) == n
     assert hashmap.tables_for(1500, 128) == 16 and hashmap.tables_for(n, 128) == 32
-    assert hashmap.load_factor(hashmap.place(ks, 128), 128, 16).first().filled == n
+    assert hashmap.load_factor(ks, 128).first().asDict() == {"filled": n, "tables": 32, "load": n / (128 * 32)}
     with pytest.raises(Exception, match="has no place"):
         hashmap.place(ks, 128, tables=8).collect()
 
@@ -268,3 +268,59 @@ def test_placement_grows_with_the_keys(spark):
 def test_cursor_gives_whole_values(spark):
     state = spark.createDataFrame([(1, 0, "k", 1.0, "v" * 300, False)], "inode long, block long, key_str string, value double, payload string, is_deleted boolean")
     assert [len(read.cursor(state, 5, cut_values=cut).first().payload) for cut in (False, True)] == [300, 152]
+
+
+def test_deletes_are_seen_by_committed_readers(spark):
+    log = log_of(spark, [(1, "SET", 1, 1, 5.0), (2, "SET", 1, 2, 6.0), (3, "SET", 1, 3, 7.0)])
+    keys_ = spark.createDataFrame([(1, 1)], "inode long, block long")
+    after = write.delete(log, keys_, F.lit(10).cast("long"))
+    assert {(r.block, r.op) for r in txn.visible(after).collect()} == {(1, "DELETE"), (2, "SET"), (3, "SET")}
+    assert {r.key_str for r in read.latest_state(after).collect()} == {f"{1:010d}{b:010d}" for b in (1, 2, 3)}
+    assert {r.tid for r in txn.transactions(after).collect()} == {0}
+    ranges = spark.createDataFrame([(10, 1, 2, 2, 7, False)], "seq long, inode long, block long, n int, tid long, committed boolean")
+    after = write.append(log, write.range_tombstones(ranges))
+    assert {(r.block, r.op) for r in txn.visible(after).collect()} == {(1, "SET"), (2, "SET"), (3, "SET")}
+    assert {(r.block, r.op) for r in txn.visible(after, tid=7).collect()} == {(1, "SET"), (2, "DELETE"), (3, "DELETE")}
+
+
+def test_collection_keeps_what_open_transactions_own(spark):
+    rows = [(1, 0, "SET", 1, 1, True), (2, 0, "SET", 1, 1, True), (3, 5, "SET", 1, 1, False), (4, 5, "SET", 1, 1, False), (5, 6, "SET", 1, 1, False), (6, 0, "SET", 2, 1, True)]
+    log = spark.createDataFrame([(s, t, op, i, b, f"{i:010d}{b:010d}", 1.0, "p", c) for s, t, op, i, b, c in rows], LOG)
+    placed = gc.placed(log)
+    assert {r.seq for r in gc.live(placed).collect()} == {5, 6}
+    assert {r.seq for r in gc.live(placed, transactions=True).collect()} == {2, 4, 5, 6}
+    assert {r.seq for r in gc.dead(placed, transactions=True).collect()} == {1, 3}
+    assert sum(r.valid for r in gc.segment_state(placed, transactions=True).collect()) == 4
+
+
+def test_numbers_with_null_and_crowded_groups(spark):
+    rows = [(None, 5), (None, 6), (0, 1), (7, 2)] + [(3, b) for b in range(0, 5000, 2)] + [(2_000_000, 1), (5_000_000_000, 9)]
+    got = merge.numbered(spark.createDataFrame(rows, "inode long, block long"), width=64).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.inode, r.block) for r in sorted(got, key=lambda r: r.pos)] == want and [r.pos for r in sorted(got, key=lambda r: r.pos)] == list(range(len(rows)))
+
+
+def test_pieces_over_chunks(spark):
+    rng = [(1 + k % 3, k, 1 + (k * 7) % 20) for k in range(500)]
+    got = {(r.inode, r.seq): (r.page_no, r.slot) for r in gc.pack_pieces(spark.createDataFrame(rng, "inode long, seq long, pieces long"), width=32).collect()}
+    at = {}
+    for inode, seq, k in rng:
+        page, used = at.get(inode, (0, 0))
+        if used + k > 16:
+            page, used = page + 1, 0
+        assert got[inode, seq] == (page, used)
+        at[inode] = page, min(16, used + k)
+
+
+def test_cache_of_bytes(spark):
+    log = log_of(spark, [(k, "SET" if k % 3 else "GET", 1, b, 1.0) for k, b in enumerate([1, 2, 3, 1, 4, 9, 1, 2, 3, 4])])
+    r = caches.simulate_lru(log, capacity=10, shards=1, size=F.col("block")).first()
+    cache, held, hits, gone, dirty = {}, 0, 0, 0, 0
+    for k, b in enumerate([1, 2, 3, 1, 4, 9, 1, 2, 3, 4]):
+        hits += b in cache
+        was = cache.pop(b, False)
+        cache[b] = was or k % 3 > 0
+        while sum(cache) > 10:
+            dirty += cache.pop(next(iter(cache)))
+            gone += 1
+    assert (r.hits, r.misses, r.evictions, r.dirty, r.held) == (hits, 10 - hits, gone, dirty, sum(cache))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import hashes, keys, sizing
@@ -28,10 +28,38 @@ w AS (SELECT * FROM log WHERE op IN ('SET', 'RMW', 'DELETE')),
 latest AS (SELECT *, op = 'DELETE' AS is_deleted FROM w QUALIFY row_number() OVER (PARTITION BY inode, block ORDER BY seq DESC) = 1),
 live AS (SELECT * FROM latest WHERE NOT is_deleted),
 placed AS (SELECT seq, op, inode, block, inode % 3 AS part, seq // 256 AS segment, seq % 256 AS page, seq = max(seq) OVER (PARTITION BY inode, block) AS alive FROM w)"""
-_RUNS = """WITH runs AS (SELECT l_orderkey % 4 AS level, l_suppkey AS run_id, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, count(*) AS n
+_RUNS = """WITH runs AS (SELECT l_orderkey % 4 AS level, l_orderkey // (64 << (l_orderkey % 4)::INT) AS run_id, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, count(*) AS n
   FROM lineitem GROUP BY 1, 2)"""
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: (ascii(ch)::BIGINT >> j) & 1)))"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT) END"
+
+
+def _times(x: str, y: int) -> str:
+    return f"((({x})::HUGEINT * {y}) % 4294967296)::BIGINT"
+
+
+def _murmur3(key: str, words: int, seed: int) -> str:
+    """Murmur3 of ASCII text of a whole number of four-byte words."""
+    m = hashes.MURMUR3
+    word = "ascii(substr({0}, 4 * i + 1, 1))::BIGINT + ascii(substr({0}, 4 * i + 2, 1)) * 256 + ascii(substr({0}, 4 * i + 3, 1)) * 65536 + ascii(substr({0}, 4 * i + 4, 1)) * 16777216".format(key)
+    first = f"list_transform(list_transform(generate_series(0, {words - 1}), lambda i: {_times(word, m['c1'])}), lambda k: {_times('(k * 32768) % 4294967296 + k // 131072', m['c2'])})"
+    step = f"(((xor(h, k) * 8192) % 4294967296 + xor(h, k) // 524288) * 5 + {m['n']}) % 4294967296"
+    return _mix32(f"xor(list_reduce(list_prepend({seed}::BIGINT, {first}), lambda h, k: {step}), {4 * words}::BIGINT)")
+
+
+def _mix32(h: str) -> str:
+    m = hashes.MURMUR3
+    steps = [f"lambda x: {_times('xor(x, x // 65536)', m['f1'])}", f"lambda x: {_times('xor(x, x // 8192)', m['f2'])}", "lambda x: xor(x, x // 65536)"]
+    out = f"[({h}) % 4294967296]"
+    for f in steps:
+        out = f"list_transform({out}, {f})"
+    return f"({out})[1]"
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
@@ -53,8 +81,9 @@ def _gets(log: DataFrame) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each level's keys cut into sorted runs, twice as wide from level to level."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("level", F.pmod("l_orderkey", F.lit(4)))
-    return merge.runs(items, "level", "l_suppkey", "l_orderkey")
+    return merge.runs(items.withColumn("run", F.expr("l_orderkey div shiftleft(64L, cast(level AS int))")), "level", "run", "l_orderkey")
 
 
 # -- lookups and cursors ---------------------------------------------------------------------------
@@ -142,10 +171,26 @@ def iterator_page(spark, sf_dir):
     return read.next_page(_state(spark, sf_dir), 3, 7, 6)
 
 
-@query(f"{_LOG} SELECT w.inode, w.block, w.seq FROM w JOIN latest USING (seq) WHERE w.tid % 3 = 0")
+@query(f"{_LOG} SELECT w.inode, w.block, w.seq FROM w JOIN latest USING (seq)")
 def pinned_pairs(spark, sf_dir):
     log = read_log(spark, sf_dir)
-    return read.still_current(writes(log).filter("tid % 3 = 0").select("inode", "block", "seq"), read.latest_state(log))
+    return read.still_current(writes(log).select("inode", "block", "seq"), read.latest_state(log))
+
+
+@query(f"{_LOG} SELECT inode, first(key_str ORDER BY block) AS first_key, first(value ORDER BY block) AS first_value, last(key_str ORDER BY block) AS last_key, count(*) - 1 AS rest FROM live GROUP BY inode")
+def pop_min_last(spark, sf_dir):
+    """The first row of each prefix, which a pop takes, how many stay, and the last one."""
+    return read.ends(_state(spark, sf_dir).filter("NOT is_deleted"))
+
+
+@query(f"{_LOG} SELECT key_str, 'm' AS kind, inode, 'f' || block AS name, block % 8 = 3 AS hit FROM live")
+def named_keys(spark, sf_dir):
+    """Meta keys encoded and decoded, and the predicate on their file names."""
+    rows = _state(spark, sf_dir).filter("NOT is_deleted").withColumn("key", keys.encode_meta_key(F.col("inode"), F.concat(F.lit("f"), F.col("block").cast("string"))))
+    d, hit = keys.decode_key(F.col("key")), F.lit(False)
+    for block in range(3, 64, 8):
+        hit = hit | keys.has_name(F.col("key"), f"f{block}")
+    return rows.select("key_str", d["kind"].alias("kind"), d["inode"].alias("inode"), d["name"].alias("name"), hit.alias("hit"))
 
 
 # -- changes ---------------------------------------------------------------------------------------
@@ -160,6 +205,26 @@ def range_delete(spark, sf_dir):
     return after.filter("NOT is_deleted").select("inode", "block", "seq", "value")
 
 
+@query(f"{_LOG} SELECT inode, block, op, seq, tid, key_str FROM w WHERE committed QUALIFY row_number() OVER (PARTITION BY inode, block ORDER BY seq DESC) = 1")
+def delete_visible_rc(spark, sf_dir):
+    """Deletes through the write interface, as committed readers see them."""
+    log = read_log(spark, sf_dir)
+    deletes = log.filter("op = 'DELETE'").select("inode", "block", "seq", "tid", "committed")
+    after = write.delete(writes(log).filter("op <> 'DELETE'"), deletes, F.col("seq"))
+    return txn.visible(after).select("inode", "block", "op", "seq", "tid", "key_str")
+
+
+@query(f"""{_LOG}, gone AS (SELECT seq, tid, 'DELETE' AS op, inode, unnest(generate_series(block, block + 3)) AS block, committed FROM w WHERE op = 'DELETE'),
+every AS (SELECT seq, tid, op, inode, block, committed FROM w WHERE op <> 'DELETE' UNION ALL FROM gone)
+SELECT inode, block, op, seq, tid, lpad(inode::VARCHAR, 10, '0') || lpad(block::VARCHAR, 10, '0') AS key_str FROM every WHERE committed QUALIFY row_number() OVER (PARTITION BY inode, block ORDER BY seq DESC) = 1""")
+def txn_range_delete(spark, sf_dir):
+    """Range deletes within transactions, as committed readers see them."""
+    log = read_log(spark, sf_dir)
+    deletes = log.filter("op = 'DELETE'").select("seq", "inode", "block", "tid", "committed", F.lit(4).alias("n"))
+    after = write.append(writes(log).filter("op <> 'DELETE'"), write.range_tombstones(deletes))
+    return txn.visible(after).select("inode", "block", "op", "seq", "tid", "key_str")
+
+
 @query(f"""{_LOG}, p AS (SELECT seq, inode, block, block % 16 AS off, 'patch-' || (seq % 100) AS patch FROM log WHERE op = 'RMW'),
 b AS (SELECT p.*, rpad(coalesce(l.payload, ''), greatest(64, length(coalesce(l.payload, '')))::INT, ' ') AS base FROM p LEFT JOIN live l USING (inode, block))
 SELECT seq, inode, block, substr(base, 1, off) || patch || substr(base, off + length(patch) + 1) AS payload FROM b""")
@@ -297,9 +362,22 @@ def segment_cut_bytes(spark, sf_dir):
     return merge.segments_by_bytes(_state(spark, sf_dir).filter("NOT is_deleted")).groupBy("segment").agg(F.count("*").alias("n"))
 
 
-@query(f"{_CUT}, r AS (SELECT pos // 510 AS segment, min(key_str) AS min_key, max(key_str) AS max_key FROM cut GROUP BY 1) SELECT b.segment, b.min_key, a.max_key AS before FROM r a JOIN r b ON b.segment = a.segment + 1 WHERE a.max_key >= b.min_key")
+_ARRIVED = f"{_LOG}, r AS (SELECT seq // 256 AS segment, min(key_str) AS min_key, max(key_str) AS max_key FROM w GROUP BY 1)"
+
+
+@query(f"{_ARRIVED} SELECT b.segment, b.min_key, a.max_key AS before FROM r a JOIN r b ON b.segment = a.segment + 1 WHERE a.max_key >= b.min_key")
 def order_check(spark, sf_dir):
-    return merge.is_ordered(merge.segment_ranges(merge.segments(_state(spark, sf_dir).filter("NOT is_deleted"))))
+    """Segments in order of writing, which overlap their predecessors."""
+    arrived = writes(read_log(spark, sf_dir)).withColumn("segment", F.floor(F.col("seq") / 256))
+    return merge.is_ordered(merge.segment_ranges(arrived))
+
+
+@query(f"{_CUT}, r AS (SELECT pos // 510 AS segment, min(key_str) AS min_key, max(key_str) AS max_key FROM cut GROUP BY 1) SELECT count(*) AS segments, count(*) FILTER (before >= min_key) AS out_of_order FROM (SELECT *, lag(max_key) OVER (ORDER BY segment) AS before FROM r)")
+def order_of_sorted(spark, sf_dir):
+    """Segments of the sorted state, none of which does."""
+    ranges = merge.segment_ranges(merge.segments(_state(spark, sf_dir).filter("NOT is_deleted")))
+    bad = merge.is_ordered(ranges).select(F.lit(0).cast("long").alias("segments"), F.lit(1).cast("long").alias("bad"))
+    return ranges.select(F.lit(1).cast("long").alias("segments"), F.lit(0).cast("long").alias("bad")).union(bad).agg(F.sum("segments").alias("segments"), F.sum("bad").alias("out_of_order"))
 
 
 @query(f"{_CUT} SELECT key_str, pos FROM cut WHERE pos = 7")
@@ -317,13 +395,13 @@ def split_run(spark, sf_dir):
 @query(f"{_RUNS} SELECT u.run_id AS upper_run, l.run_id AS lower_run FROM runs u JOIN runs l ON u.min_key <= l.max_key AND l.min_key <= u.max_key WHERE u.level = 0 AND l.level = 1")
 def run_overlap(spark, sf_dir):
     r = _runs(spark, sf_dir)
-    return merge.overlaps(r.filter("level = 0"), r.filter("level = 1"), 4096)
+    return merge.overlaps(r.filter("level = 0"), r.filter("level = 1"), 128)
 
 
 @query(f"{_RUNS} SELECT c_custkey AS probe, c_custkey * 7 AS key, level, run_id FROM customer JOIN runs ON c_custkey * 7 BETWEEN min_key AND max_key WHERE level = 2")
 def run_prune_lookup(spark, sf_dir):
     probes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("probe"), (F.col("c_custkey") * 7).alias("key"))
-    return merge.covering_runs(probes, _runs(spark, sf_dir).filter("level = 2"), 4096)
+    return merge.covering_runs(probes, _runs(spark, sf_dir).filter("level = 2"), 256)
 
 
 @query(f"{_RUNS} SELECT level, count(*) AS runs, min(min_key) AS min_key, max(max_key) AS max_key, sum(n)::BIGINT AS entries, sum(n * 24)::BIGINT AS bytes FROM runs GROUP BY level")
@@ -372,11 +450,37 @@ def throughput_summary(spark, sf_dir):
     return stats.throughput(log, read.point_get(_gets(log), read.latest_state(log)))
 
 
-@query(f"""{_LOG}, a AS (SELECT count(*) FILTER (op <> 'GET') AS user_writes, count(*) FILTER (op = 'GET') AS user_reads,
-  (sum(CASE WHEN inode % 4 = 3 THEN 1 ELSE 2 END) FILTER (op <> 'GET'))::BIGINT AS device_writes, sum(CASE op WHEN 'GET' THEN 1 WHEN 'RMW' THEN 2 ELSE 0 END)::BIGINT AS device_reads FROM log)
-SELECT *, device_writes / user_writes AS waf, device_reads / user_reads AS raf FROM a""")
+_WORK = f"""{_TWO}, m AS (SELECT coalesce(u.op, l.op) AS op, u.seq IS NOT NULL AND l.seq IS NOT NULL AS met FROM upper_run u FULL JOIN lower_run l USING (inode, block)),
+state AS (SELECT part, segment, count(*) FILTER (alive) AS valid, count(*) FILTER (NOT alive) AS invalid FROM placed GROUP BY 1, 2),
+victim AS (SELECT * FROM state WHERE invalid > 0 QUALIFY row_number() OVER (PARTITION BY part ORDER BY invalid DESC, segment) = 1),
+moved AS (SELECT p.seq FROM placed p JOIN victim v ON p.part = v.part AND p.segment = v.segment WHERE alive),
+work AS (SELECT (SELECT count(*) FROM upper_run) + (SELECT count(*) FROM lower_run) AS merged_in, (SELECT count(*) FROM m WHERE op <> 'DELETE') AS merged_out, (SELECT count(*) FROM m WHERE met) AS replaced,
+  (SELECT count(*) FROM m WHERE op = 'DELETE') AS tombstones_dropped, (SELECT count(*) FROM victim) AS victims, (SELECT sum(invalid)::BIGINT FROM victim) AS freed, (SELECT count(*) FROM moved) AS relocated)"""
+
+
+@query(f"""{_WORK}, a AS (SELECT count(*) FILTER (op <> 'GET') AS user_writes, count(*) FILTER (op = 'GET') AS user_reads, count(*) FILTER (op = 'RMW') AS rmw FROM log),
+d AS (SELECT user_writes, user_reads, user_writes + merged_out + relocated AS device_writes, user_reads + rmw + merged_in + relocated AS device_reads FROM a, work)
+SELECT *, device_writes / user_writes AS waf, device_reads / user_reads AS raf FROM d""")
 def waf_raf(spark, sf_dir):
-    return stats.amplification(read_log(spark, sf_dir))
+    return stats.amplification(read_log(spark, sf_dir), _work(spark, sf_dir))
+
+
+@query(f"{_WORK} SELECT * FROM work")
+def store_report(spark, sf_dir):
+    """What one merge of two levels and one round of collection read, wrote, dropped and freed."""
+    return _work(spark, sf_dir)
+
+
+def _work(spark, sf_dir):
+    placed = gc.placed(read_log(spark, sf_dir))
+    return stats.maintenance(*_two_runs(spark, sf_dir), placed, gc.victims(gc.segment_state(placed)))
+
+
+@query(f"""{_RUNS}, f AS (SELECT level, count(*) AS runs, sum(n)::BIGINT AS entries, (count(*) * 64)::BIGINT AS run_bytes, (sum((ceil(n * ln(0.01) / ln(1 / pow(2, ln(2))))::BIGINT + 7) // 8))::BIGINT AS filter_bytes FROM runs GROUP BY level)
+SELECT coalesce(level::VARCHAR, 'all') AS level, sum(runs)::BIGINT AS runs, sum(entries)::BIGINT AS entries, sum(run_bytes)::BIGINT AS run_bytes, sum(filter_bytes)::BIGINT AS filter_bytes, sum(run_bytes + filter_bytes)::BIGINT AS bytes FROM f GROUP BY ROLLUP (level)""")
+def level_memory(spark, sf_dir):
+    """Memory for run entries and filters of each level, and of all levels."""
+    return stats.level_memory(_runs(spark, sf_dir), 0.01)
 
 
 @query(f"{_LOG} SELECT inode % 4 AS level, count(*) FILTER (op = 'SET') AS n_set, count(*) FILTER (op = 'GET') AS n_get, count(*) FILTER (op = 'RMW') AS n_rmw, count(*) FILTER (op = 'DELETE') AS n_delete FROM log GROUP BY 1")
@@ -421,15 +525,41 @@ def gc_dead_pairs(spark, sf_dir):
     return gc.dead(gc.placed(read_log(spark, sf_dir))).select("seq", "inode", "block")
 
 
+_OPEN = f"{_LOG}, kept AS (SELECT seq, inode, block, inode % 3 AS part, seq // 256 AS segment, row_number() OVER (PARTITION BY inode, block, CASE WHEN NOT committed THEN tid END ORDER BY seq DESC) = 1 AS alive FROM w)"
+
+
+@query(f"{_OPEN} SELECT seq, inode, block FROM kept WHERE alive")
+def gc_open_transactions(spark, sf_dir):
+    """What collection must keep while transactions are open."""
+    return gc.live(gc.placed(read_log(spark, sf_dir)), transactions=True).select("seq", "inode", "block")
+
+
+@query(f"{_OPEN} SELECT part, segment, count(*) FILTER (alive) AS valid, count(*) FILTER (NOT alive) AS invalid FROM kept GROUP BY 1, 2")
+def segment_state_open(spark, sf_dir):
+    return gc.segment_state(gc.placed(read_log(spark, sf_dir)), transactions=True)
+
+
+@query(f"""{_LOG}, bad AS (SELECT segment, row_number() OVER (ORDER BY segment) AS k FROM (SELECT DISTINCT seq // 256 AS segment FROM w WHERE seq // 256 % 5 = 1)),
+spare AS (SELECT i AS spare, i - 999999 AS k FROM range(1000000, 1000000 + (SELECT count(*) // 2 FROM bad)) t(i))
+SELECT seq, seq // 256 AS segment, CASE WHEN b.segment IS NULL THEN seq // 256 ELSE spare END AS home FROM w LEFT JOIN bad b ON seq // 256 = b.segment LEFT JOIN spare USING (k)""")
+def bad_segment_remap(spark, sf_dir):
+    """Bad segments go to spare ones, as many as there are (here half as many)."""
+    rows = gc.placed(read_log(spark, sf_dir)).select("seq", "segment")
+    bad = rows.filter("segment % 5 = 1").select("segment").distinct()
+    spares = bad.withColumn("k", F.row_number().over(Window.orderBy("segment"))).withColumn("half", F.floor(F.count("*").over(Window.partitionBy()) / 2))
+    return gc.remapped(rows, bad, spares.filter("k <= half").select((F.col("k") + 999999).cast("long").alias("segment"))).select("seq", "segment", "home")
+
+
 @query(f"{_VICTIM} SELECT seq, inode, block FROM placed p JOIN victim v ON p.part = v.part AND p.segment = v.segment WHERE alive")
 def gc_rewrite(spark, sf_dir):
     rows = gc.placed(read_log(spark, sf_dir))
     return gc.relocated(rows, gc.victims(gc.segment_state(rows))).select("seq", "inode", "block")
 
 
-@query(f"{_LOG} SELECT segment, page // 64 AS word, count(*) AS valid FROM placed WHERE alive GROUP BY 1, 2")
+@query(f"""{_LOG}, v AS (SELECT segment, page // 64 AS word, count(*) AS valid, sum((1::HUGEINT << (page % 64)::INT)) AS b FROM placed WHERE alive GROUP BY 1, 2)
+SELECT segment, word, valid, (CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END)::BIGINT AS bits FROM v""")
 def valid_bitmap(spark, sf_dir):
-    return gc.valid_bits(gc.placed(read_log(spark, sf_dir))).select("segment", "word", "valid")
+    return gc.valid_bits(gc.placed(read_log(spark, sf_dir))).select("segment", "word", "valid", "bits")
 
 
 @query(f"{_LOG}, p AS (SELECT seq, inode, row_number() OVER (PARTITION BY inode ORDER BY seq) - 1 AS pos FROM w) SELECT seq, inode, pos::INT AS pos, pos // 16 AS page_no, (pos % 16)::INT AS slot FROM p")
@@ -437,10 +567,19 @@ def page_packing(spark, sf_dir):
     return gc.pack(writes(read_log(spark, sf_dir)).select("seq", "inode"), 16)
 
 
-@query()
+@query(f"{_LOG}, p AS (SELECT seq, inode, block, row_number() OVER (PARTITION BY inode ORDER BY block, seq) - 1 AS pos FROM w) SELECT seq, inode, block, pos::INT AS pos, pos // 16 AS page_no, (pos % 16)::INT AS slot FROM p")
+def page_packing_by_address(spark, sf_dir):
+    """Writes sorted by logical address before they are packed."""
+    return gc.pack(writes(read_log(spark, sf_dir)).select("seq", "inode", "block"), 16, order=("block", "seq"))
+
+
+@query(f"""{_LOG.replace("WITH log", "WITH RECURSIVE log")}, q AS (SELECT seq, inode, (seq % 7 + 1)::INT AS pieces, row_number() OVER (PARTITION BY inode ORDER BY seq) AS k FROM w),
+f AS (SELECT seq, inode, pieces, k, 0 AS page_no, 0 AS slot FROM q WHERE k = 1
+  UNION ALL SELECT q.seq, q.inode, q.pieces, q.k, CASE WHEN f.slot + f.pieces + q.pieces > 16 THEN f.page_no + 1 ELSE f.page_no END, CASE WHEN f.slot + f.pieces + q.pieces > 16 THEN 0 ELSE f.slot + f.pieces END FROM f JOIN q ON q.inode = f.inode AND q.k = f.k + 1)
+SELECT seq, inode, pieces, page_no, slot FROM f""")
 def piece_packing(spark, sf_dir):
     rows = writes(read_log(spark, sf_dir)).select("seq", "inode", (F.pmod("seq", F.lit(7)) + 1).alias("pieces"))
-    return gc.pack_pieces(rows)
+    return gc.pack_pieces(rows, width=512)
 
 
 @query(f"{_LOG} SELECT seq, inode, block, seq AS ppa, lag(seq) OVER (PARTITION BY inode, block ORDER BY seq) AS invalidated_ppa FROM w")
@@ -466,7 +605,7 @@ def packed_keys(spark, sf_dir):
     return pages.unpack_keys(pages.pack_keys(merge.segments(_state(spark, sf_dir).filter("NOT is_deleted"))))
 
 
-@query()
+@query(f"{_LOG} SELECT seq, {_crc32('CASE WHEN block % 2 = 0 THEN substr(payload, 1, 152) ELSE payload END')} AS crc FROM log")
 def crc_check(spark, sf_dir):
     return read_log(spark, sf_dir).select("seq", hashes.checksum(F.col("payload"), F.pmod("block", F.lit(2)) == 0).alias("crc"))
 
@@ -489,19 +628,29 @@ def hash_probe_first(spark, sf_dir):
     return hashmap.first_probe(_state(spark, sf_dir).filter("NOT is_deleted").select("key_str"), 4096).select("key_str", "address", "n")
 
 
-@query()
+#: Keys inserted one by one, a step for each place in the order of their table.
+_PLACED = f"""{_LOG.replace("WITH log", "WITH RECURSIVE log")}, many AS (SELECT (16 * pow(2, greatest(0, ceil(log2(count(*) / (0.75 * 16 * 4095))))))::BIGINT AS tables FROM live),
+dealt AS (SELECT key_str, {_FOLD} AS h, ('0x' || substr(md5(key_str), 1, 8))::BIGINT % tables AS tab FROM live, many),
+o AS (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY key_str) AS k FROM dealt),
+ins AS (SELECT tab, k, key_str, [h % 4095 + 1] AS taken, 0::BIGINT AS probes FROM o WHERE k = 1
+  UNION ALL SELECT o.tab, o.k, o.key_str, list_append(i.taken, (o.h + c.c + c.c * c.c) % 4095 + 1), c.c FROM ins i JOIN o ON o.tab = i.tab AND o.k = i.k + 1,
+  LATERAL (SELECT list_filter(generate_series(0, 255), lambda x: NOT list_contains(i.taken, (o.h + x + x * x) % 4095 + 1))[1] AS c) c),
+put AS (SELECT key_str, tab AS "table", taken[-1] AS address, probes FROM ins)"""
+
+
+@query(f'{_PLACED} SELECT key_str, "table", address, probes FROM put')
 def hash_placement(spark, sf_dir):
     return hashmap.place(_state(spark, sf_dir).filter("NOT is_deleted"), 4096)
 
 
-@query()
+@query(f"{_PLACED}, c AS (SELECT probes, count(*) AS n FROM put GROUP BY 1) SELECT probes, n, (sum(n) OVER (ORDER BY probes))::BIGINT / (sum(n) OVER ())::BIGINT AS share FROM c")
 def hash_collision_cdf(spark, sf_dir):
     return hashmap.collision_cdf(hashmap.place(_state(spark, sf_dir).filter("NOT is_deleted"), 4096))
 
 
-@query(f"{_LOG} SELECT count(*) AS filled, count(*) / (4096 * 16) AS load FROM live")
+@query(f"{_LOG}, many AS (SELECT count(*) AS n, (16 * pow(2, greatest(0, ceil(log2(count(*) / (0.75 * 16 * 4095))))))::BIGINT AS tables FROM live) SELECT n AS filled, tables, n / (4096 * tables) AS load FROM many")
 def hash_load_factor(spark, sf_dir):
-    return hashmap.load_factor(hashmap.place(_state(spark, sf_dir).filter("NOT is_deleted"), 4096), 4096, 16)
+    return hashmap.load_factor(_state(spark, sf_dir).filter("NOT is_deleted"), 4096)
 
 
 @query(f"{_LOG} SELECT DISTINCT inode::VARCHAR AS name, list_reduce(list_prepend(5361::BIGINT, list_transform(string_split(inode::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM log")
@@ -510,12 +659,17 @@ def string_hash(spark, sf_dir):
     return names.select("name", hashes.string_hash(F.col("name")).alias("h"))
 
 
-@query()
+@query(f"{_LOG} SELECT key_str, {_murmur3('key_str', 5, 2)} AS h, {_mix32('seq')} AS mixed FROM latest")
 def murmur_hash(spark, sf_dir):
     return _state(spark, sf_dir).select("key_str", hashes.murmur3(2)(F.col("key_str").cast("binary")).alias("h"), hashes.mix32(F.col("seq")).alias("mixed"))
 
 
-@query()
+@query(f"""{_CUT}, s AS (SELECT pos // 510 AS segment, key_str FROM cut), r AS (SELECT segment, min(key_str) AS lo, max(key_str) AS hi FROM s GROUP BY 1),
+p AS (SELECT key_str, {_murmur3('key_str', 5, 2)} AS a, {_murmur3('key_str', 5, 3)} AS b FROM (SELECT DISTINCT key_str FROM log)),
+spots AS (SELECT key_str, unnest(list_transform([0, 1, 2, 3, 4, 5], lambda i: (a + i * (b | 1)) % 8192)) AS bit FROM p),
+bits AS (SELECT DISTINCT segment, bit FROM s JOIN spots USING (key_str)),
+asked AS (SELECT segment, o.key_str, bit FROM spots o JOIN r ON o.key_str BETWEEN lo AND hi)
+SELECT segment, key_str FROM asked LEFT JOIN bits b USING (segment, bit) GROUP BY 1, 2 HAVING count(*) = count(b.bit)""")
 def bloom_prune(spark, sf_dir):
     """Segments that a Bloom filter can't rule out, for every key of the log."""
     log = read_log(spark, sf_dir)
@@ -542,10 +696,9 @@ def substring_count(spark, sf_dir):
 # -- sources and generators ------------------------------------------------------------------------
 
 
-@query(f"""{_LOG} SELECT seq, concat_ws(' ', tid, CASE op WHEN 'SET' THEN 1 WHEN 'GET' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'RMW' THEN 7 END, 17, 'd', inode, block, 0, length(payload)) AS line FROM log""")
+@query(f"""{_LOG} SELECT seq, concat_ws(' ', tid, CASE op WHEN 'SET' THEN 1 WHEN 'GET' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'RMW' THEN 7 END, 17, 'd', inode, block, 0, length(payload), {_crc32('payload')}) AS line FROM log""")
 def trace_lines(spark, sf_dir):
-    lines = requests.trace_lines(read_log(spark, sf_dir))
-    return lines.select("seq", F.regexp_replace("line", r" \d+$", "").alias("line"))  # without the checksum, which SQL lacks
+    return requests.trace_lines(read_log(spark, sf_dir)).select("seq", "line")
 
 
 @query(f"{_LOG} SELECT tid, CASE op WHEN 'SET' THEN 1 WHEN 'GET' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'RMW' THEN 7 END::INT AS type, inode, block, length(payload)::INT AS length FROM log")
@@ -554,6 +707,64 @@ def trace_round_trip(spark, sf_dir):
     return requests.parse_trace(lines, "line").select("tid", "type", "inode", "block", "length")
 
 
+@query(f"{_LOG} SELECT tid, (seq % 16)::INT AS pos, op, key_str, CASE WHEN op IN ('SET', 'RMW') THEN (seq % 32)::INT END AS \"offset\", CASE WHEN op <> 'DELETE' THEN length(payload)::INT END AS length, CASE WHEN op IN ('SET', 'RMW') THEN payload END AS value FROM log")
+def vector_round_trip(spark, sf_dir):
+    """Requests of each transaction as one binary vector, decoded again."""
+    log = read_log(spark, sf_dir).withColumn("offset", F.pmod("seq", F.lit(32)).cast("int"))
+    rows = requests.decode_vectors(requests.encode_vectors(log))
+    return rows.select("tid", "pos", "op", F.decode("key", "UTF-8").alias("key_str"), "offset", "length", F.decode("value", "UTF-8").alias("value"))
+
+
+@query(f"{_LOG} SELECT inode, block, seq FROM latest")
+def map_union(spark, sf_dir):
+    """Maps of disjoint keys in one; a key that both had would raise an error."""
+    state = _state(spark, sf_dir).select("inode", "block", "seq")
+    return merge.union_unique(state.filter("inode % 2 = 0"), state.filter("inode % 2 = 1"))
+
+
+@query(f"{_LOG} SELECT key_str, seq FROM latest")
+def level_concatenate(spark, sf_dir):
+    """Levels of disjoint ranges, moved without a merge."""
+    state = _state(spark, sf_dir).select("key_str", "seq")
+    left, right = merge.split(state, "00000000070000000000")
+    return merge.concatenate(left, right)
+
+
+@query(f"{_LOG} SELECT inode, block, seq FROM live WHERE block = 9")
+def delta_lookup(spark, sf_dir):
+    """Keys found in delta-encoded pages without decoding them."""
+    rows = _state(spark, sf_dir).filter("NOT is_deleted")
+    return pages.delta_find(pages.delta_encode(rows, "seq"), None, 9).select("inode", (F.col("base") + F.col("delta")).alias("block"), "seq")
+
+
+@query(f"{_LOG} SELECT tid, count(*) AS requests, count(DISTINCT key_str) FILTER (op <> 'GET') AS kv_count, max(seq) AS last_seq FROM log GROUP BY tid HAVING count(*) >= 16")
+def write_buffers(spark, sf_dir):
+    """Buffers of whole transactions, which are flushed when their vector is complete."""
+    return txn.buffers(read_log(spark, sf_dir), 16)
+
+
+@query("""SELECT level, keys, CASE WHEN mode = 'uniform' THEN 0.1::DOUBLE ELSE 0.25::DOUBLE END AS rate, ceil(-keys * ln(CASE WHEN mode = 'uniform' THEN 0.1::DOUBLE ELSE 0.25::DOUBLE END) / pow(ln(2), 2) / 8)::BIGINT AS bytes, mode,
+  sum(-keys * ln(CASE WHEN mode = 'uniform' THEN 0.1::DOUBLE ELSE 0.25::DOUBLE END) / pow(ln(2), 2) / 8) OVER (PARTITION BY mode ORDER BY level) <= 100000 AS pinned
+FROM (SELECT l_orderkey % 4 AS level, count(*) AS keys FROM lineitem GROUP BY 1), (VALUES ('uniform'), ('fixed')) m(mode)""")
+def filter_memory(spark, sf_dir):
+    """Filter bytes of the levels and which of them fit into the memory."""
+    levels = sorted((r.level, r.n) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.pmod("l_orderkey", F.lit(4)).alias("level")).agg(F.count("*").alias("n")).collect())  # a row a level
+    rows = [(level, n, r["rate"], r["bytes"], mode, r["pinned"]) for mode in ("uniform", "fixed") for (level, n), r in zip(levels, sizing.split_memory(100000, [n for _, n in levels], mode), strict=True)]
+    return spark.createDataFrame(rows, "level long, keys long, rate double, bytes long, mode string, pinned boolean")
+
+
+@query("""WITH f AS (SELECT total, levels, CASE levels WHEN 2 THEN total / 64 - 1 ELSE (sqrt(1 - 4 * (1 - total / 64)) - 1) / 2 END AS factor FROM (SELECT count(*) * k AS total FROM lineitem, (VALUES (1), (3), (10)) t(k) GROUP BY k), (VALUES (2), (3)) l(levels))
+SELECT total, levels::BIGINT AS levels, round(factor, 6) AS factor, round(0.05 / (1 + factor + CASE levels WHEN 3 THEN factor * factor ELSE 0 END), 9) AS first_rate FROM f""")
+def level_sizing(spark, sf_dir):
+    """The growth of levels that hold a table, and the filter rate of the first of them."""
+    n, rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count(), []
+    for total in (n, 3 * n, 10 * n):
+        for levels in (2, 3):
+            factor = sizing.size_factor(total, 64, levels)
+            rows.append((total, levels, round(factor, 6), round(sizing.level_rates(levels, factor, 0.05)[0], 9)))
+    return spark.createDataFrame(rows, "total long, levels long, factor double, first_rate double")
+
+
 @query(f"{_LOG} SELECT op, count(*) AS n FROM log GROUP BY op")
 def op_mix(spark, sf_dir):
     return read_log(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))
@@ -614,9 +825,10 @@ def workload_latency(spark, sf_dir):
     return workloads.latency(spark, 5000, 5, 1005)
 
 
-@query("SELECT i // 629 AS tid, i // 629 // 2 AS term, count(*) + 2 AS rows_of FROM range(5000) t(i) GROUP BY 1, 2")
+@query("""WITH g AS (SELECT i, i // 629 AS tid, lpad((5 + i % 1000)::VARCHAR, 20, '0') AS key_str FROM range(5000) t(i))
+SELECT tid, tid // 2 AS term, 'SET' AS op, key_str, i FROM g UNION ALL SELECT DISTINCT tid, tid // 2, 'BEGIN', NULL, -1 FROM g UNION ALL SELECT DISTINCT tid, tid // 2, 'COMMIT', NULL, 4611686018427387904 FROM g""")
 def workload_transactions(spark, sf_dir):
-    return workloads.transactions(workloads.sequential(spark, 5000, 5, 1005)).groupBy("tid", "term").agg(F.count("*").alias("rows_of"))
+    return workloads.transactions(workloads.sequential(spark, 5000, 5, 1005)).select("tid", "term", "op", "key_str", "i")
 
 
 @query(f"{_LOG} SELECT seq, sha256(key_str || '-' || seq) AS value FROM w")
@@ -624,11 +836,31 @@ def payloads(spark, sf_dir):
     return writes(read_log(spark, sf_dir)).select("seq", workloads.payload(F.col("key_str"), F.col("seq")).alias("value"))
 
 
-@query()
+def _lru(entry: str, units: str, capacity: int) -> str:
+    """A recency cache by stack distances: an entry is held while it and all entries asked for since fit."""
+    return f"""{_LOG}, a AS (SELECT inode % 16 AS shard, seq, inode, {entry} AS e, op <> 'GET' AS wr, {units} AS u FROM log),
+v AS (SELECT *, max(u) OVER (PARTITION BY shard, inode, e) AS size, lag(seq) OVER k AS before, lead(seq) OVER k AS after FROM a WINDOW k AS (PARTITION BY shard, inode, e ORDER BY seq)),
+since AS (SELECT v.seq, sum(x.size) AS held FROM v JOIN v x ON x.shard = v.shard AND x.seq > v.seq AND (v.after IS NULL OR x.seq < v.after) AND (x.after IS NULL OR x.after > coalesce(v.after, 9e15)) GROUP BY v.seq),
+d AS (SELECT v.*, size + coalesce(held, 0) > {capacity} AS lost FROM v LEFT JOIN since USING (seq)),
+m AS (SELECT *, before IS NULL OR lag(lost) OVER (PARTITION BY shard, inode, e ORDER BY seq) AS miss FROM d),
+stay AS (SELECT *, sum(miss::INT) OVER (PARTITION BY shard, inode, e ORDER BY seq) AS stay FROM m),
+ends AS (SELECT shard, inode, e, stay, bool_or(lost) AS gone, bool_or(wr) AS dirty, max(size) AS size FROM stay GROUP BY ALL),
+x AS (SELECT shard, count(*) FILTER (gone) AS evictions, count(*) FILTER (gone AND dirty) AS dirty, coalesce(sum(size) FILTER (NOT gone), 0)::BIGINT AS held FROM ends GROUP BY shard)
+SELECT shard, count(*) FILTER (NOT miss) AS hits, count(*) FILTER (miss) AS misses, evictions, dirty, held FROM m JOIN x USING (shard) GROUP BY shard, evictions, dirty, held"""
+
+
+@query(_lru("block", "1", 64))
 def lru_cache(spark, sf_dir):
     return caches.simulate_lru(read_log(spark, sf_dir))
 
 
+@query(_lru("block // 4", "512 * (1 + inode % 5 + block // 4 % 3)", 65536))
+def lru_cache_bytes(spark, sf_dir):
+    """Pages of four blocks in a cache of 64 KiB."""
+    size = 512 * (1 + F.pmod("inode", F.lit(5)) + F.pmod(F.floor(F.col("block") / 4), F.lit(3)))
+    return caches.simulate_lru(read_log(spark, sf_dir), capacity=65536, coarse=4, size=size)
+
+
 @query(f"{_LOG} SELECT inode, block, max(seq) AS last FROM log GROUP BY 1, 2 ORDER BY last LIMIT 10")
 def lru_victims(spark, sf_dir):
     return caches.least_recent(read_log(spark, sf_dir))

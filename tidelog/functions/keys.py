@@ -52,6 +52,11 @@ def padded(n: Column, width: int) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def key_text(inode: Column, block: Column) -> Column:
+    """The log's text key: ten digits each of inode and block."""
+    return F.concat(padded(inode, 10), padded(block, 10))
+
+
 def successor(key: Column, steps: Column) -> Column:
     """The data key steps blocks behind key."""
     return F.concat(F.substring(key, 1, 9), big_endian(from_big_endian(F.substring(key, 10, 8)) + steps))

@@ -5,6 +5,8 @@ Each write gets a page (by order of writing); a page is valid while its row is i
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +18,35 @@ from tidelog.sources.log import writes
 def placed(log: DataFrame, rows_per_segment: int = 256, parts: int = 3) -> DataFrame:
     """Writes with their partition, segment and page; the sequence number is the order of writing."""
     part = F.pmod("inode", F.lit(parts))
-    return writes(log).select("seq", "op", *KEY, "payload", part.alias("part"), F.floor(F.col("seq") / rows_per_segment).alias("segment"), F.pmod("seq", F.lit(rows_per_segment)).alias("page"))
+    return writes(log).select("seq", "tid", "op", *KEY, "payload", "committed", part.alias("part"), F.floor(F.col("seq") / rows_per_segment).alias("segment"), F.pmod("seq", F.lit(rows_per_segment)).alias("page"))
 
 
-def live(rows: DataFrame) -> DataFrame:
-    """Rows that are still their key's newest (tombstones included): a semi join with the newest."""
-    newest = rows.groupBy(*KEY).agg(F.max("seq").alias("seq"))
-    return rows.join(newest, [*KEY, "seq"], "left_semi")
+def _newest(rows: DataFrame, transactions: bool) -> DataFrame:
+    """Versions that readers can reach: each key's newest, or (transactions) its newest committed one and
+    the newest of each transaction that is open."""
+    if not transactions:
+        return rows.groupBy(*KEY).agg(F.max("seq").alias("seq"))
+    owner = F.when(~F.coalesce("committed", F.lit(False)), F.coalesce("tid", F.lit(-1))).alias("owner")
+    return rows.groupBy(*KEY, owner).agg(F.max("seq").alias("seq")).drop("owner")
 
 
-def dead(rows: DataFrame) -> DataFrame:
-    newest = rows.groupBy(*KEY).agg(F.max("seq").alias("seq"))
-    return rows.join(newest, [*KEY, "seq"], "left_anti")
+def live(rows: DataFrame, transactions: bool = False) -> DataFrame:
+    """Rows that are still reachable (tombstones included): a semi join with the newest versions.
 
+    transactions: an open transaction's newest version of a key stays beside the newest committed one,
+    so collection takes nothing away from it nor from readers that don't see it."""
+    return rows.join(_newest(rows, transactions), [*KEY, "seq"], "left_semi")
 
-def segment_state(rows: DataFrame) -> DataFrame:
+
+def dead(rows: DataFrame, transactions: bool = False) -> DataFrame:
+    return rows.join(_newest(rows, transactions), [*KEY, "seq"], "left_anti")
+
+
+def segment_state(rows: DataFrame, transactions: bool = False) -> DataFrame:
     """Valid and invalid pages of each segment."""
-    newest = rows.groupBy(*KEY).agg(F.max("seq").alias("last"))
-    marked = rows.join(newest, list(KEY))
-    return marked.groupBy("part", "segment").agg(F.count_if(F.col("seq") == F.col("last")).alias("valid"), F.count_if(F.col("seq") != F.col("last")).alias("invalid"))
+    newest = _newest(rows, transactions).withColumnRenamed("seq", "last").withColumn("alive", F.lit(True))
+    marked = rows.join(newest, (rows.seq == newest.last) & (rows.inode == newest.inode) & (rows.block == newest.block), "left").select("part", "segment", F.coalesce("alive", F.lit(False)).alias("alive"))
+    return marked.groupBy("part", "segment").agg(F.count_if("alive").alias("valid"), F.count_if(~F.col("alive")).alias("invalid"))
 
 
 def victims(state: DataFrame) -> DataFrame:
@@ -43,9 +55,9 @@ def victims(state: DataFrame) -> DataFrame:
     return state.filter("invalid > 0").groupBy("part").agg(best).select("part", "v.*")
 
 
-def relocated(rows: DataFrame, victim: DataFrame) -> DataFrame:
+def relocated(rows: DataFrame, victim: DataFrame, transactions: bool = False) -> DataFrame:
     """Live rows of victim segments, which collection writes anew."""
-    return live(rows).join(victim.select("part", "segment"), ["part", "segment"], "left_semi")
+    return live(rows, transactions).join(victim.select("part", "segment"), ["part", "segment"], "left_semi")
 
 
 def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -53,27 +65,71 @@ def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return rows.join(bad.select("segment"), "segment", "left_anti")
 
 
-def pack(rows: DataFrame, per_page: int, by: str = "inode", order: str = "seq") -> DataFrame:
-    """Rows of each queue dealt to pages in arrival order."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+def remapped(rows: DataFrame, bad: DataFrame, spares: DataFrame) -> DataFrame:
+    """Rows with ``home``, where their segment is: bad segments (segment), in order, go to the spare ones
+    (segment), in order; bad ones beyond the spares have no home (null).  The tables of bad and spare
+    segments have a row for each such segment."""
+    ranked = lambda t: t.select("segment").distinct().withColumn("k", F.row_number().over(Window.orderBy("segment")))
+    to = ranked(bad).join(ranked(spares).withColumnRenamed("segment", "spare"), "k", "left").select("segment", "spare", F.lit(True).alias("bad"))
+    return rows.join(to, "segment", "left").withColumn("home", F.when(F.col("bad"), F.col("spare")).otherwise(F.col("segment"))).drop("spare", "bad")
+
+
+def pack(rows: DataFrame, per_page: int, by: str = "inode", order: str | tuple[str, ...] = "seq") -> DataFrame:
+    """Rows of each queue dealt to pages in the given order: of arrival, or of logical addresses, as a
+    buffer does that sorts before it writes."""
+    at = F.row_number().over(Window.partitionBy(by).orderBy(*([order] if isinstance(order, str) else order))) - 1
     return rows.withColumn("pos", at).withColumn("page_no", F.floor(F.col("pos") / per_page)).withColumn("slot", F.pmod("pos", F.lit(per_page)))
 
 
-def pack_pieces(rows: DataFrame, by: str = "inode", order: str = "seq", capacity: int = GEOMETRY.page_bytes // GEOMETRY.piece_bytes) -> DataFrame:
+def _room(pieces: np.ndarray, used: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """After packing values behind pages with ``used`` pieces: (pages opened, pieces used) for each start."""
+    pages = np.zeros(len(used), np.int64)
+    used = used.copy()
+    for k in pieces.tolist():
+        opens = used + k > capacity
+        pages += opens
+        used = np.minimum(np.where(opens, k, used + k), capacity)
+    return pages, used
+
+
+def pack_pieces(rows: DataFrame, by: str = "inode", order: str = "seq", capacity: int = GEOMETRY.page_bytes // GEOMETRY.piece_bytes, width: int = 4096) -> DataFrame:
     """Values of several pieces dealt to pages of ``capacity`` pieces: a value larger than the room left
-    opens a page.  Sequential by nature, so each queue is folded in arrival order, in JVM lambdas."""
-    sized = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("pieces").cast("int").alias("pieces")))).alias("queue"))
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("used"), F.array().cast("array<struct<at:bigint,pieces:int,page:int,slot:int>>").alias("out"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["pieces"] <= capacity
-        page = F.when(fits, acc["page"]).otherwise(acc["page"] + 1)
-        slot = F.when(fits, acc["used"]).otherwise(F.lit(0))
-        row = F.struct(x["at"].alias("at"), x["pieces"].alias("pieces"), page.alias("page"), slot.alias("slot"))
-        return F.struct(page.alias("page"), (slot + x["pieces"]).alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    packed = sized.select(by, F.explode(F.aggregate("queue", start, step, lambda acc: acc["out"])).alias("p"))
-    return packed.select(by, F.col("p.at").alias(order), "p.pieces", F.col("p.page").alias("page_no"), "p.slot")
+    opens a page (a value larger than a page has one of its own).
+
+    A queue is a state machine over the room left, of which there are capacity + 1 states.  So it is cut
+    by ``order`` into chunks of ``width``; each chunk, in parallel, says where it leads from every state;
+    these maps, one row a chunk, are followed along the queue; then each chunk packs its values."""
+    start = F.floor(F.col(order) / width).alias("chunk")
+    chunked = rows.select(F.col(by).alias("queue"), start, F.col(order).cast("long").alias("at"), F.col("pieces").cast("int").alias("pieces"))
+
+    def lead(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pages, used = _room(pdf.sort_values("at")["pieces"].to_numpy(), np.arange(capacity + 1), capacity)
+        return pd.DataFrame({"queue": [key[0]], "chunk": [key[1]], "pages": [pages.tolist()], "used": [used.tolist()]})
+
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        out, page, used = [], 0, 0
+        for chunk, pages, ends in zip(pdf["chunk"], pdf["pages"], pdf["used"], strict=True):
+            out.append((key[0], chunk, page, used))
+            page, used = page + int(pages[used]), int(ends[used])
+        return pd.DataFrame(out, columns=["queue", "chunk", "page0", "used0"])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        page, used, pages, slots = int(pdf["page0"].iloc[0]), int(pdf["used0"].iloc[0]), [], []
+        for k in pdf["pieces"].tolist():
+            if used + k > capacity:
+                page, used = page + 1, 0
+            pages.append(page)
+            slots.append(used)
+            used = min(used + k, capacity)
+        return pd.DataFrame({"queue": pdf["queue"], "at": pdf["at"], "pieces": pdf["pieces"], "page_no": pages, "slot": slots})
+
+    kind = rows.schema[by].dataType.simpleString()
+    maps = chunked.groupBy("queue", "chunk").applyInPandas(lead, f"queue {kind}, chunk long, pages array<long>, used array<long>")
+    starts = maps.groupBy("queue").applyInPandas(follow, f"queue {kind}, chunk long, page0 long, used0 long")
+    placed = chunked.join(starts, ["queue", "chunk"]).groupBy("queue", "chunk").applyInPandas(deal, f"queue {kind}, at long, pieces int, page_no int, slot int")
+    return placed.select(F.col("queue").alias(by), F.col("at").alias(order), "pieces", "page_no", "slot")
 
 
 def page_map(log: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,37 +28,45 @@ def tables_for(n: int, slots: int, load: float = 0.75, least: int = 16) -> int:
     return tables
 
 
+def first_come(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(address, probes) of keys inserted one after the other into one table.
+
+    All keys that have no place ask for their next address at once; an address keeps the earliest key
+    that asked for it, whenever it asked, and the others go on.  That ends where inserting one by one
+    ends, since each key has the first of its addresses that no earlier key holds."""
+    owner, probes = np.full(slots, len(h), np.int64), np.zeros(len(h), np.int64)
+    address, asking = np.zeros(len(h), np.int64), np.arange(len(h))
+    while len(asking):
+        if probes[asking].max() >= slots - 1:
+            raise ValueError(f"the table has no place for a key of hash {h[asking[np.argmax(probes[asking])]]}")
+        c = probes[asking]
+        address[asking] = (h[asking] + c + c * c) % (slots - 1) + 1
+        before = owner.copy()
+        np.minimum.at(owner, address[asking], asking)
+        lost = asking[owner[address[asking]] != asking]
+        gone = before[(before < len(h)) & (before != owner)]
+        asking = np.concatenate([lost, gone])
+        probes[asking] += 1
+    return address, probes
+
+
 def place(keys: DataFrame, slots: int, tables: int | None = None) -> DataFrame:
     """(key_str, table, address, probes) after inserting all keys in key order.
 
-    Probing is a state machine over one table, so keys are dealt to ``tables`` tables by their hash and
-    each table is filled by one task, in order; None takes as many as the keys need (tables_for).  Probe
-    addresses repeat after slots - 1 probes: a key that has found no place by then raises an error."""
+    Keys are dealt to ``tables`` tables by 32 bits of their md5, and each table, of at most ``slots`` keys,
+    is filled by itself; None takes as many tables as the keys need (tables_for).  Probe addresses repeat
+    after slots - 1 probes: a key that has found no place by then raises an error."""
     if tables is None:
         tables = tables_for(keys.count(), slots)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, taken = None, None
-        for b in batches:
-            address, probes = [], []
-            for t, h in zip(b["table"].tolist(), b["h"].tolist(), strict=True):
-                if t != table:
-                    table, taken = t, np.zeros(slots + 1, bool)
-                for c in range(slots - 1):
-                    a = (h + c + c * c) % (slots - 1) + 1
-                    if not taken[a]:
-                        taken[a] = True
-                        address.append(a)
-                        probes.append(c)
-                        break
-                else:
-                    raise ValueError(f"table {t} has no place for a key of hash {h}")
-            yield pd.DataFrame({"key_str": b["key_str"], "table": b["table"], "address": pd.array(address, "Int64"), "probes": pd.array(probes, "Int64")})
-
-    # h has 16 bits above these; more tables take further bits of another hash
-    high = F.shiftrightunsigned("h", 16) + F.shiftleft(F.pmod(F.xxhash64("key_str"), F.lit(1 << 31)), 16)
-    dealt = hashed(keys.select("key_str")).withColumn("table", F.pmod(high, F.lit(tables)))
-    return dealt.repartition("table").sortWithinPartitions("table", "key_str").mapInPandas(fill, "key_str string, table long, address long, probes long")
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key_str")
+        address, probes = first_come(pdf["h"].to_numpy(), slots)
+        return pd.DataFrame({"key_str": pdf["key_str"], "table": pdf["table"], "address": address, "probes": probes})
+
+    bits = F.conv(F.substring(F.md5(F.col("key_str").cast("binary")), 1, 8), 16, 10).cast("long")
+    dealt = hashed(keys.select("key_str")).withColumn("table", F.pmod(bits, F.lit(tables)))
+    return dealt.groupBy("table").applyInPandas(fill, "key_str string, table long, address long, probes long")
 
 
 def collision_cdf(placed: DataFrame) -> DataFrame:
@@ -70,5 +76,8 @@ def collision_cdf(placed: DataFrame) -> DataFrame:
     return n.select("probes", "n", (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def load_factor(placed: DataFrame, slots: int, tables: int) -> DataFrame:
-    return placed.agg(F.count("address").alias("filled"), (F.count("address") / (slots * tables)).alias("load"))
+def load_factor(keys: DataFrame, slots: int, tables: int | None = None) -> DataFrame:
+    """Keys placed, tables, and the share of all slots that they fill."""
+    if tables is None:
+        tables = tables_for(keys.count(), slots)
+    return place(keys, slots, tables).agg(F.count("address").alias("filled"), F.lit(tables).cast("long").alias("tables"), (F.count("address") / (slots * tables)).alias("load"))

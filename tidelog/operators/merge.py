@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,28 @@ def drop_tombstones(rows: DataFrame, last_level: bool = True) -> DataFrame:
     return rows.filter(~F.col("is_deleted")) if last_level else rows
 
 
-def numbered(rows: DataFrame, group: str = "inode", order: str = "block", width: int = 64) -> DataFrame:
-    """Rows with ``pos``, their 0-based place in the whole table by (group, order).
-
-    No window spans the table: rows are counted by group, groups are summed up within blocks of
-    ``width`` groups and the blocks among themselves, and a window numbers the rows of a group."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("coarse", F.floor(F.col(group) / width))
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sizes.groupBy("coarse").agg(F.sum("n").alias("n")).select("coarse", F.coalesce(F.sum("n").over(before("coarse")), F.lit(0)).alias("outer"))
-    starts = sizes.select(group, "coarse", F.coalesce(F.sum("n").over(before("coarse", group)), F.lit(0)).alias("inner")).join(blocks, "coarse")
-    starts = starts.select(group, (F.col("outer") + F.col("inner")).alias("start"))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.join(starts, group).withColumn("pos", F.col("start") + at).drop("start")
+def numbered(rows: DataFrame, group: str = "inode", order: str = "block", width: int = 1024) -> DataFrame:
+    """Rows with ``pos``, their 0-based place in the whole table by (group, order); null groups come first.
+
+    No window spans the table or a crowded group: rows are counted by group and ``width`` values of
+    order, these counts are summed up within the group, the groups within blocks of ``width`` groups, the
+    blocks within blocks of blocks, and a window numbers the rows of one such part of a group."""
+    same = lambda a, b, *cols: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in cols))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy(group, F.floor(F.col(order) / width).alias("part")).agg(F.count("*").alias("n"))
+    groups = parts.groupBy(group).agg(F.sum("n").alias("n")).withColumn("coarse", F.floor(F.col(group) / width)).withColumn("outer", F.floor(F.col(group) / width**2))
+    blocks = groups.groupBy("outer", "coarse").agg(F.sum("n").alias("n"))
+    top = blocks.groupBy("outer").agg(F.sum("n").alias("n")).select("outer", before("outer").alias("b3"))
+    blocks = blocks.select("outer", "coarse", before("outer", "coarse").alias("b2"))
+    blocks = blocks.join(top, same(blocks, top, "outer")).select(blocks.coarse, (F.col("b2") + F.col("b3")).alias("b2"))
+    groups = groups.select(group, "coarse", before("coarse", group).alias("b1"))
+    groups = groups.join(blocks, same(groups, blocks, "coarse")).select(groups[group], (F.col("b1") + F.col("b2")).alias("b1"))
+    parts = parts.select(group, "part", before(group, "part").alias("b0"))
+    starts = parts.join(groups, same(parts, groups, group)).select(parts[group].alias("__group"), F.col("part").alias("__part"), (F.col("b0") + F.col("b1")).alias("__start"))
+    own = rows.withColumn("__own", F.floor(F.col(order) / width))
+    at = F.row_number().over(Window.partitionBy(group, "__own").orderBy(order)) - 1
+    placed = own.join(starts, own[group].eqNullSafe(starts["__group"]) & own["__own"].eqNullSafe(starts["__part"]))
+    return placed.withColumn("pos", F.col("__start") + at).drop("__own", "__group", "__part", "__start")
 
 
 def segments(rows: DataFrame, size: int = GEOMETRY.segment_rows) -> DataFrame:

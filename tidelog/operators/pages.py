@@ -7,22 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashes import murmur3_bytes
+from tidelog.functions.hashes import murmur3_many
 
 
-def delta_encode(rows: DataFrame) -> DataFrame:
-    """Each row's block as its prefix's first block plus a delta."""
+def delta_encode(rows: DataFrame, *keep: str) -> DataFrame:
+    """Each row's block as its prefix's first block plus a delta; further columns to keep."""
     base = F.min("block").over(Window.partitionBy("inode"))
-    return rows.select("inode", "block", base.alias("base"), (F.col("block") - base).alias("delta"))
+    return rows.select(*keep, "inode", "block", base.alias("base"), (F.col("block") - base).alias("delta"))
 
 
 def delta_decode(rows: DataFrame) -> DataFrame:
     return rows.select("inode", (F.col("base") + F.col("delta")).alias("block"))
 
 
-def delta_find(rows: DataFrame, inode: int, block: int) -> DataFrame:
-    """Lookup in encoded rows without decoding them."""
-    return rows.filter((F.col("inode") == inode) & (F.col("delta") == F.lit(block) - F.col("base")))
+def delta_find(rows: DataFrame, inode: int | None, block: int) -> DataFrame:
+    """Lookup in encoded rows without decoding them; inode None: in every prefix."""
+    own = F.lit(True) if inode is None else F.col("inode") == inode
+    return rows.filter(own & (F.col("delta") == F.lit(block) - F.col("base")))
 
 
 def pack_keys(rows: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def unpack_keys(packed: DataFrame) -> DataFrame:
 
 def _positions(keys: pd.Series, bits: int, hashes: int) -> np.ndarray:
     """Bit positions (keys, hashes) by double hashing."""
-    a = np.array([murmur3_bytes(k.encode(), 2) for k in keys], np.uint64)
-    b = np.array([murmur3_bytes(k.encode(), 3) | 1 for k in keys], np.uint64)
+    data = [k.encode() for k in keys]
+    a, b = murmur3_many(data, 2), murmur3_many(data, 3) | np.uint64(1)
     return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
 

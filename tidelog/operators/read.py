@@ -77,6 +77,13 @@ def next_page(state: DataFrame, inode: int, after_block: int | None, n: int, wit
     return rows.select("inode", "block", "key_str", *["value"] * with_values).orderBy("block").limit(n)
 
 
+def ends(rows: DataFrame, by: str = "inode", order: str = "block") -> DataFrame:
+    """Each prefix's first row (what a pop takes), its last key, and how many rows stay behind the first."""
+    first = F.min_by(F.struct("key_str", "value"), order)
+    found = rows.groupBy(by).agg(first.alias("first"), F.max_by("key_str", order).alias("last_key"), (F.count("*") - 1).alias("rest"))
+    return found.select(by, F.col("first.key_str").alias("first_key"), F.col("first.value").alias("first_value"), "last_key", "rest")
+
+
 def still_current(pairs: DataFrame, state: DataFrame) -> DataFrame:
     """Pairs (inode, block, seq) that the state still holds."""
     return pairs.join(state.select(*KEY, "seq"), [*KEY, "seq"], "left_semi")

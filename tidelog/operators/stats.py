@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.sizing import bloom_bits
+from tidelog.operators.read import KEY
 from tidelog.sources.log import WRITES
 
 
@@ -37,18 +39,39 @@ def op_type_stats(samples: DataFrame) -> DataFrame:
 
 def throughput(log: DataFrame, state_hits: DataFrame) -> DataFrame:
     """One row: requests, bytes written, rates over the logged time, success ratio of GETs."""
-    t = log.agg(F.count("*").alias("requests"), F.count_if(F.col("op").isin(*WRITES)).alias("n_writes"), F.sum(F.when(F.col("op").isin("SET", "RMW"), F.octet_length("payload"))).alias("write_bytes"), F.sum(F.floor(F.abs("value") * 1000)).alias("total_us"))
-    s = state_hits.agg(F.count("*").alias("gets"), F.count_if(F.col("status") == "FOUND").alias("hits"))
-    both = t.crossJoin(F.broadcast(s))  # one row each
-    return both.select("requests", "n_writes", "write_bytes", "gets", "hits", (F.col("requests") * 1e6 / F.col("total_us")).alias("iops"), (F.col("write_bytes") * 1e6 / F.col("total_us") / 1024).alias("kb_s"), (F.col("hits") / F.col("gets")).alias("success_ratio"))
-
-
-def amplification(log: DataFrame) -> DataFrame:
-    """Write and read amplification: a level rewrite for each superseded write, two reads for each RMW."""
-    w, r = F.count_if(F.col("op").isin(*WRITES)), F.count_if(F.col("op") == "GET")
-    device_w = F.sum(F.when(F.col("op").isin(*WRITES), F.when(F.pmod("inode", F.lit(4)) == 3, 1).otherwise(2)))
-    device_r = F.sum(F.when(F.col("op") == "GET", 1).when(F.col("op") == "RMW", 2).otherwise(0))
-    return log.agg(w.alias("user_writes"), r.alias("user_reads"), device_w.alias("device_writes"), device_r.alias("device_reads")).withColumn("waf", F.col("device_writes") / F.col("user_writes")).withColumn("raf", F.col("device_reads") / F.col("user_reads"))
+    names = ("requests", "n_writes", "write_bytes", "total_us", "gets", "hits")
+    zero = lambda *cs: [F.lit(0).cast("long").alias(c) for c in cs]
+    asked = log.select(F.lit(1).cast("long").alias("requests"), F.col("op").isin(*WRITES).cast("long").alias("n_writes"), F.when(F.col("op").isin("SET", "RMW"), F.octet_length("payload").cast("long")).alias("write_bytes"), F.floor(F.abs("value") * 1000).alias("total_us"), *zero("gets", "hits"))
+    found = state_hits.select(*zero("requests", "n_writes", "write_bytes", "total_us"), F.lit(1).cast("long").alias("gets"), (F.col("status") == "FOUND").cast("long").alias("hits"))
+    t = asked.unionByName(found).agg(*(F.sum(c).alias(c) for c in names))
+    return t.select("requests", "n_writes", "write_bytes", "gets", "hits", (F.col("requests") * 1e6 / F.col("total_us")).alias("iops"), (F.col("write_bytes") * 1e6 / F.col("total_us") / 1024).alias("kb_s"), (F.col("hits") / F.col("gets")).alias("success_ratio"))
+
+
+def maintenance(upper: DataFrame, lower: DataFrame, placed: DataFrame, victim: DataFrame) -> DataFrame:
+    """One row: rows that the merge of two runs into the last level reads (merged_in), writes (merged_out),
+    replaces and drops as tombstones, and how many victims collection takes, what it frees and relocates."""
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    names = ("merged_in", "merged_out", "replaced", "tombstones_dropped", "victims", "freed", "relocated")
+    one = lambda df, **found: df.agg(*(found[c].cast("long").alias(c) if c in found else zero(c) for c in names))
+    both = upper.select(*KEY, "op", F.lit(1).alias("rank")).unionByName(lower.select(*KEY, "op", F.lit(0).alias("rank")))
+    keys = both.groupBy(*KEY).agg(F.count("*").alias("n"), F.max_by("op", "rank").alias("op"))
+    deleted = F.col("op") == "DELETE"
+    merged = one(keys, merged_in=F.coalesce(F.sum("n"), F.lit(0)), merged_out=F.count_if(~deleted), replaced=F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), tombstones_dropped=F.count_if(deleted))
+    taken = one(victim, victims=F.count("*"), freed=F.coalesce(F.sum("invalid"), F.lit(0)), relocated=F.coalesce(F.sum("valid"), F.lit(0)))
+    return merged.unionByName(taken).agg(*(F.sum(c).alias(c) for c in names))
+
+
+def amplification(log: DataFrame, work: DataFrame) -> DataFrame:
+    """Write and read amplification, from what the user asked for and what maintenance moved (a row as of
+    ``maintenance``): the device writes user rows, merged rows and relocated rows; it reads for reads and
+    read-modify-writes, for merges and for relocation."""
+    names = ("user_writes", "user_reads", "device_writes", "device_reads")
+    w, r, rmw = F.count_if(F.col("op").isin(*WRITES)), F.count_if(F.col("op") == "GET"), F.count_if(F.col("op") == "RMW")
+    asked = log.agg(w.alias("user_writes"), r.alias("user_reads"), w.alias("device_writes"), (r + rmw).alias("device_reads"))
+    zero = F.lit(0).cast("long")
+    moved = work.select(zero.alias("user_writes"), zero.alias("user_reads"), (F.col("merged_out") + F.col("relocated")).alias("device_writes"), (F.col("merged_in") + F.col("relocated")).alias("device_reads"))
+    total = asked.unionByName(moved).agg(*(F.sum(c).alias(c) for c in names))
+    return total.withColumn("waf", F.col("device_writes") / F.col("user_writes")).withColumn("raf", F.col("device_reads") / F.col("user_reads"))
 
 
 def traffic(log: DataFrame) -> DataFrame:
@@ -61,6 +84,15 @@ def level_summary(run_table: DataFrame) -> DataFrame:
     return run_table.groupBy("level").agg(F.count("*").alias("runs"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.sum("n").alias("entries"), F.sum(F.col("n") * 24).alias("bytes"))
 
 
+def level_memory(run_table: DataFrame, rate: float, run_entry_bytes: int = 64) -> DataFrame:
+    """Bytes of run entries and filters (at a false-positive rate) of each level, and of 'all' of them."""
+    bits = bloom_bits(F.col("n"), rate).cast("long")
+    each = run_table.groupBy("level").agg(F.count("*").alias("runs"), F.sum("n").alias("entries"), (F.count("*") * run_entry_bytes).alias("run_bytes"), F.sum(F.floor((bits + 7) / 8)).alias("filter_bytes"))
+    each = each.withColumn("bytes", F.col("run_bytes") + F.col("filter_bytes"))
+    sums = each.rollup("level").agg(*(F.sum(c).alias(c) for c in ("runs", "entries", "run_bytes", "filter_bytes", "bytes")))
+    return sums.withColumn("level", F.coalesce(F.col("level").cast("string"), F.lit("all")))
+
+
 def cache_hits(log: DataFrame) -> DataFrame:
     """GETs of a key whose previous request came within 256 requests: hits of a recency cache."""
     before = F.lag("seq").over(Window.partitionBy("inode", "block").orderBy("seq"))

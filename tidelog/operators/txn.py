@@ -15,9 +15,10 @@ from tidelog.sources.log import writes
 
 
 def transactions(log: DataFrame) -> DataFrame:
-    """tid, status, key range, number of writes and of requests."""
+    """tid, status, key range, number of writes and of requests.  Requests outside transactions (tid null)
+    make none."""
     write = F.col("op").isin("SET", "RMW", "DELETE")
-    return log.groupBy("tid").agg(
+    return log.filter(F.col("tid").isNotNull()).groupBy("tid").agg(
         F.min(F.when(write, F.col("key_str"))).alias("range_start"), F.max(F.when(write, F.col("key_str"))).alias("range_end"),
         F.count_if(write).alias("kv_count"), F.count("*").alias("requests"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.bool_and("committed").alias("committed"),
     ).withColumn("status", F.when(F.col("kv_count") == 0, "EMPTY").when(F.col("committed"), "COMMIT").when(F.col("kv_count") >= 8, "LOGGED").otherwise("CACHED"))
@@ -73,6 +74,14 @@ def vectors(log: DataFrame) -> DataFrame:
     return log.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("requests")).withColumn("complete", F.size("requests") == 16)
 
 
+def buffers(log: DataFrame, limit: int = 16) -> DataFrame:
+    """Write buffers that are due: transactions with ``limit`` requests or more, their distinct keys
+    written and their last request.  The batch form of streaming.replay.memtables."""
+    written = F.when(F.col("op") != "GET", F.col("key_str"))
+    each = log.filter(F.col("tid").isNotNull()).groupBy("tid").agg(F.count("*").alias("requests"), F.count_distinct(written).alias("kv_count"), F.max("seq").alias("last_seq"))
+    return each.filter(F.col("requests") >= limit)
+
+
 def adjacent_tids(log: DataFrame) -> DataFrame:
     """Consecutive equal tids of each inode's write queue collapsed to one."""
     before = F.lag("tid").over(Window.partitionBy("inode").orderBy("seq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.keys import key_text
 from tidelog.schema import GEOMETRY
 
 
@@ -12,15 +13,29 @@ def append(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 
 
-def delete(log: DataFrame, keys: DataFrame, seq: Column) -> DataFrame:
-    """The log with a tombstone for each key."""
-    return append(log, keys.select("inode", "block", F.lit("DELETE").alias("op"), seq.alias("seq")))
+def tombstones(keys: DataFrame, seq: Column, tid: Column | None = None, committed: Column | None = None) -> DataFrame:
+    """A tombstone row for each key (inode, block).
+
+    tid and committed: the transaction that deletes.  Without them the keys' own columns of these names
+    count, if there are any; else the delete stands outside transactions (tid null) and is committed."""
+    if tid is None:
+        tid = F.col("tid") if "tid" in keys.columns else F.lit(None).cast("long")
+    if committed is None:
+        committed = F.col("committed") if "committed" in keys.columns else F.lit(True)
+    return keys.select(seq.alias("seq"), tid.alias("tid"), F.lit("DELETE").alias("op"), "inode", "block", key_text(F.col("inode"), F.col("block")).alias("key_str"), committed.alias("committed"))
+
+
+def delete(log: DataFrame, keys: DataFrame, seq: Column, tid: Column | None = None, committed: Column | None = None) -> DataFrame:
+    """The log with a tombstone for each key (see tombstones)."""
+    return append(log, tombstones(keys, seq, tid, committed))
 
 
 def range_tombstones(deletes: DataFrame) -> DataFrame:
-    """One tombstone per key of range deletes (seq, inode, block, n): n consecutive blocks."""
-    wanted = deletes.filter("n > 0")
-    return wanted.select("seq", "inode", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("n") - 1)).alias("block"), F.lit("DELETE").alias("op"))
+    """One tombstone per key of range deletes (seq, inode, block, n, and tid and committed if the deletes
+    have them): n consecutive blocks."""
+    each = F.explode(F.sequence(F.col("block"), F.col("block") + F.col("n") - 1))
+    wanted = deletes.filter("n > 0").withColumn("block", each)
+    return tombstones(wanted, F.col("seq"))
 
 
 def overlay(value: Column, patch: Column, offset: Column, length: Column) -> Column:

@@ -25,16 +25,22 @@ def lookup(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, rows: DataFrame, root: str, version: int) -> str:
-    """Writes a new version of a level beside the old ones and makes it current by a pointer file."""
+    """Writes a new version of a level beside the old ones.  It becomes current when its files are
+    committed (Spark's _SUCCESS mark), so a reader sees the old version or the new one, never none."""
     path = f"{root}/v{version}"
     rows.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/current")
     return path
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed versions under root, oldest first."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/current").first().version
-    return spark.read.parquet(f"{root}/v{version}")
+    return spark.read.parquet(f"{root}/v{versions(spark, root)[-1]}")
 
 
 def discard(rows: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.keys import padded
+from tidelog.functions.keys import key_text
 
 #: What each event type stands for.
 OPS = {"click": "SET", "purchase": "SET", "signup": "RMW", "view": "GET", "error": "DELETE"}
@@ -19,7 +19,7 @@ def request_log(events: DataFrame) -> DataFrame:
     tid = F.floor(seq / 16)
     return events.select(
         seq.alias("seq"), tid.alias("tid"), op.alias("op"), F.col("user_id").alias("inode"), block.alias("block"),
-        F.concat(padded(F.col("user_id"), 10), padded(block, 10)).alias("key_str"), "value", F.col("props").alias("payload"), (tid % 5 != 0).alias("committed"),
+        key_text(F.col("user_id"), block).alias("key_str"), "value", F.col("props").alias("payload"), (tid % 5 != 0).alias("committed"),
     )
 
 

@@ -66,6 +66,19 @@ def decode_vectors(buffers: DataFrame, column: str = "buffer") -> DataFrame:
     return buffers.select(column).mapInPandas(run, DECODED)
 
 
+def encode_vectors(log: DataFrame, column: str = "buffer") -> DataFrame:
+    """One binary vector for each transaction of a log (tid, seq, op, key_str, offset, payload), requests by
+    seq; a transaction's requests must fit into memory, as its vector does."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        rows = [(op, k.encode(), o, len(p), p) for op, k, o, p in zip(pdf["op"], pdf["key_str"], pdf["offset"], (p.encode() for p in pdf["payload"]), strict=True)]
+        rows = [(op, k, o, n, p if op in ("SET", "RMW") else None) for op, k, o, n, p in rows]
+        return pd.DataFrame({column: [encode_vector(int(key[0]), rows)]})
+
+    return log.select("tid", "seq", "op", "key_str", "offset", "payload").groupBy("tid").applyInPandas(run, f"{column} binary")
+
+
 def explode_requests(vectors: DataFrame) -> DataFrame:
     """Rows of an array-of-struct vector table, with their position as seq."""
     return vectors.select("tid", F.posexplode("requests").alias("seq", "r")).select("tid", "seq", "r.op", "r.key", "r.offset", "r.length", "r.value")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.read import KEY, latest
+from tidelog.sources.device import versions
 from tidelog.sources.log import request_log, writes
 
 
@@ -22,16 +23,49 @@ def log_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return request_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
+BUCKETS = 64
+
+
+def _parts(spark: SparkSession, root: str, before: int | None = None) -> dict[int, list[int]]:
+    """Committed versions of each bucket (older than ``before``), oldest first."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v*/bucket=*")
+    fs, out = pattern.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    done = set(versions(spark, root))
+    for f in fs.globStatus(pattern) or []:
+        bucket, version = int(f.getPath().getName().split("=")[1]), int(f.getPath().getParent().getName()[1:])
+        if version in done and (before is None or version < before):
+            out.setdefault(bucket, []).append(version)
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def state(spark: SparkSession, root: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The state under root: the newest version of each bucket (of some of them; older than ``before``)."""
+    paths = [f"{root}/v{v[-1]}/bucket={b}" for b, v in sorted(_parts(spark, root, before).items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
 def maintain_state(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest state of all keys under root, a version per batch; a replayed batch overwrites
-    its own version, so results are exactly-once."""
+    """Keeps the latest state of all keys under root, in BUCKETS buckets by a hash of the inode (read it
+    with ``state``).  A batch writes new versions of the buckets it touches and nothing else; of each it
+    leaves the version before, which a replay of the batch reads, and removes older ones.  A replayed batch
+    overwrites its own version, so results are exactly-once."""
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = writes(batch)
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{root}/v{epoch - 1}").select(*rows.columns))
-        latest(rows).drop("is_deleted").select(*batch.columns).write.mode("overwrite").parquet(f"{root}/v{epoch}")
+        bucket = F.pmod(F.xxhash64("inode"), F.lit(BUCKETS)).cast("int")
+        touched = {r.b for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most BUCKETS
+        if not touched:
+            return
+        old = state(spark, root, epoch, touched)
+        if old is not None:
+            rows = rows.unionByName(old.select(*rows.columns))
+        new = latest(rows).drop("is_deleted").select(*batch.columns, bucket.alias("bucket"))
+        new.repartition("bucket").sortWithinPartitions("bucket", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{epoch}")
+        for b, found in _parts(spark, root, epoch).items():
+            for v in found[:-1] if b in touched else []:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}/bucket={b}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return log.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
