@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product: inverted lists with product-quantised residuals.
 
-``fit`` learns, from a bounded sample of vectors (about ``sample`` rows, by a hash of the id), coarse
-centroids and, for each of ``parts`` slices of the residuals, a codebook of up to 256 entries.  It
-also finds how many lists to probe: the fewest for which the lists of the sample's own queries hold
+``fit`` learns coarse centroids, about as many as the root of the number of rows, and, for each of
+``parts`` slices of the residuals, a codebook of up to 256 entries.  It learns from a bounded sample of
+vectors, by a hash of the id: PER_LIST rows for each list, from 16384 up to ``sample`` rows, which also
+bounds the lists.  It also finds how many lists to probe: the fewest for which the lists of the sample's own queries hold
 ``aim`` of their true neighbours in the sample.  ``encode`` puts every row into its list.  ``search``
 scores rows by asymmetric distance tables (query times centroid plus one table entry a slice),
 takes each shard's best by that score with all rows tied to them, and ranks those exactly, in double
@@ -10,11 +11,12 @@ precision on the original vectors, ties to the smaller id.
 
 Lists are dealt into shards of about SHARD rows: long lists are split by a hash of the id, short ones
 share a shard, so one crowded centroid makes many tasks.  A task holds one shard and streams the
-queries that probe it; a query is sent once to each shard with a list that it probes.
+queries that probe it; a query is sent once to each shard with a list that it probes.  The best of a
+query are merged in levels of GROUP shards, so no task gathers more than GROUP * k of them.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most of
 the sample take no part, neither as queries nor as candidates; nor do rows without an id.  A query
-never finds rows with its own id.  Fewer than k candidates give shorter answers; empty tables give no
+never finds rows with its own id; rows that share another id are candidates one by one.  Fewer than k candidates give shorter answers; empty tables give no
 rows.  Extra columns are ignored.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import _text as T
 from tidelog.llm._scratch import written
 
-SHARD = 1024
+SHARD, GROUP, PER_LIST = 1024, 64, 16
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -83,23 +85,23 @@ class Index:
 
     def probed(self, q: np.ndarray) -> np.ndarray:
         """Whether each query probes each list."""
-        order = np.argsort(-(q @ self.centers.T), axis=1, kind="stable")[:, : self.probes]
-        out = np.zeros((len(q), len(self.centers)), bool)
-        np.put_along_axis(out, order, True, axis=1)
-        return out
+        s = q @ self.centers.T
+        return s >= np.partition(s, len(self.centers) - self.probes, axis=1)[:, [len(self.centers) - self.probes]]
 
     def approximate(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric scores (queries, rows); minus infinity in lists that a query doesn't probe."""
-        s = np.where(self.probed(q), q @ self.centers.T, -np.inf)[:, own]
+        s = np.where(self.probed(q), q @ self.centers.T, -np.inf).astype(np.float32).T[own]
         cut = self.slices()
         for k, (a, b, book) in enumerate(zip(cut[:-1], cut[1:], self.books, strict=True)):
-            s += (q[:, a:b] @ book.T)[:, codes[:, k]]
-        return s
+            s += (book @ q[:, a:b].T).astype(np.float32)[codes[:, k]]  # whole rows of the table: one entry for all queries
+        return np.ascontiguousarray(s.T)
 
 
-def fit(vectors: DataFrame, sample: int = 16384, lists: int | None = None, parts: int = 16, aim: float = 0.97, k: int = 20, seed: int = 11) -> Index | None:
+def fit(vectors: DataFrame, sample: int = 65536, lists: int | None = None, parts: int = 16, aim: float = 0.97, k: int = 20, seed: int = 11) -> Index | None:
     """The index of usable vectors; None if there are none."""
     n = vectors.count()
+    lists = lists or int(np.clip(np.sqrt(n), 1, max(1, sample // PER_LIST)))
+    sample = min(sample, max(16384, PER_LIST * lists))
     unit = 1 << 30
     rows = vectors.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(unit)) < int(unit * min(1, sample / max(n, 1)))).orderBy("vec_id").toArrow()
     if not rows.num_rows:
@@ -110,7 +112,7 @@ def fit(vectors: DataFrame, sample: int = 16384, lists: int | None = None, parts
     dim = int(np.bincount(size).argmax())
     x = matrix(rows["embedding"].combine_chunks().filter(pa.array(size == dim)))
     rng = np.random.default_rng(seed)
-    centers = k_means(x, lists or int(np.clip(np.sqrt(n) / 2, 1, 1024)), rng)
+    centers = k_means(x, lists, rng)
     rest = x - centers[nearest(x, centers)]
     cut = np.linspace(0, dim, min(parts, dim) + 1).astype(int)
     books = [k_means(rest[:, a:b], 256, rng) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -183,18 +185,28 @@ def _answer(index, k: int):
     def best(ids, x, own, codes, qids, q):
         s = index.value.approximate(q, own, codes)
         s[qids[:, None] == ids[None, :]] = -np.inf
-        out_ids, out_scores = [], []
         depth = min(3 * k, len(ids))
-        edge = -np.partition(-s, depth - 1, axis=1)[:, depth - 1]
-        for i in range(len(q)):
-            near = np.flatnonzero((s[i] >= edge[i] - 1e-9 * abs(edge[i])) & (s[i] > -np.inf) if edge[i] > -np.inf else s[i] > -np.inf)
-            exact = (x[near] * q[i]).sum(axis=1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            out_ids.append(ids[near][order])
-            out_scores.append(exact[order])
-        size = np.concatenate([[0], np.cumsum([len(i) for i in out_ids])]).astype(np.int32)
-        found = pa.StructArray.from_arrays([pa.array(-np.concatenate(out_scores)), pa.array(np.concatenate(out_ids))], ["far", "vec_id"])
-        return pa.RecordBatch.from_pydict({"query_id": pa.array(qids), "found": pa.ListArray.from_arrays(pa.array(size), found)})
+        near = np.argpartition(-s, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+        scores = np.take_along_axis(s, near, axis=1)
+        exact = np.where(scores > -np.inf, (x[near] * q[:, None, :]).sum(axis=2), -np.inf)
+        by_id = np.argsort(ids[near], axis=1, kind="stable")
+        near, exact = np.take_along_axis(near, by_id, axis=1), np.take_along_axis(exact, by_id, axis=1)
+        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        out_ids, out_scores = ids[np.take_along_axis(near, order, axis=1)], np.take_along_axis(exact, order, axis=1)
+        n = (out_scores > -np.inf).sum(axis=1)
+        edge = scores.min(axis=1)
+        tied = ((s >= (edge - 1e-5 * np.abs(edge))[:, None]) & (s > -np.inf)).sum(axis=1) > depth
+        rows_ids, rows_scores = [a[:m] for a, m in zip(out_ids, n, strict=True)], [a[:m] for a, m in zip(out_scores, n, strict=True)]
+        for i in np.flatnonzero(tied).tolist():  # all rows tied to the last one count
+            all_near = np.flatnonzero((s[i] >= edge[i] - 1e-5 * abs(edge[i])) & (s[i] > -np.inf))
+            score = (x[all_near] * q[i]).sum(axis=1)
+            by = np.lexsort((ids[all_near], -score))[:k]
+            rows_ids[i], rows_scores[i] = ids[all_near][by], score[by]
+        size = np.concatenate([[0], np.cumsum([len(i) for i in rows_ids])]).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(-np.concatenate(rows_scores)), pa.array(np.concatenate(rows_ids))], ["far", "vec_id"])
+        return pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(qids), shard_of[0], np.int32)), "query_id": pa.array(qids), "found": pa.ListArray.from_arrays(pa.array(size), found)})
+
+    shard_of = [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, held = None, [], None
@@ -207,14 +219,16 @@ def _answer(index, k: int):
                 run_of, (own, query) = b.slice(at, to - at), divmod(int(keys[at]), 2)
                 if own != shard:
                     shard, parts, held = own, [], None
+                    shard_of[0] = own
                 x, ids = matrix(run_of.column("embedding")), run_of.column("vec_id").to_numpy()
                 if not query:
                     codes = np.frombuffer(b"".join(run_of.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                     parts.append((ids, x, run_of.column("list").to_numpy(), codes))
                 elif parts:
                     held = held or tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-                    for k in range(0, len(ids), 512):
-                        yield best(*held, ids[k : k + 512], x[k : k + 512])
+                    step = min(512, max(16, (4 << 20) // (3 * k * x.shape[1])))  # queries ranked at once
+                    for j in range(0, len(ids), step):
+                        yield best(*held, ids[j : j + step], x[j : j + step])
 
     return T.lean(run)
 
@@ -232,6 +246,10 @@ def search(inverted: DataFrame, queries: DataFrame, index: Index, k: int = 20) -
     rows = inverted.select(shard.cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "list", "code", "embedding")
     sent = queries.filter(F.size("embedding") == index.dim).mapInArrow(_send(shared, (first, n)), f"shard int, vec_id long, embedding {kind}")
     sent = sent.select("shard", F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "embedding")
-    found = rows.union(sent).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(_answer(shared, k), "query_id long, found array<struct<far: double, vec_id: long>>")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
-    return best.select("query_id", F.posexplode("found").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.far")).alias("score"))
+    found = rows.union(sent).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(_answer(shared, k), "shard int, query_id long, found array<struct<far: double, vec_id: long>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
+    shards = int((first + n).max())
+    while shards > GROUP:
+        found = found.groupBy("query_id", F.floor(F.col("shard") / GROUP).cast("int").alias("shard")).agg(best)
+        shards = -(-shards // GROUP)
+    return found.groupBy("query_id").agg(best).select("query_id", F.posexplode("found").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.far")).alias("score"))
