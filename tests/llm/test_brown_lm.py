@@ -121,3 +121,53 @@ def test_every_learning_word_has_a_class_by_its_own_bigrams(spark, monkeypatch):
     assert all(rows[key[w]][0] == c[w] for w in names if key[w] not in top)
     xs, ys = ({rows[key[w]][1] for w in names if w[0] == a and w.endswith("same")} for a in "xy")
     assert xs and ys and not xs & ys  # one suffix group
+
+
+def test_words_of_one_frequency_are_cut_by_hash(spark, monkeypatch):
+    """Where the most frequent words are too many, a share of them is clustered, not none."""
+    monkeypatch.setattr(B, "HEAD", 5)
+    docs = spark.createDataFrame([(k, "a b c d e f g h i j") for k in range(9)], "doc_id long, text string")
+    m, further = B.learn(docs, F.lit(True))
+    assert 1 <= m.elements.n_words <= 9 and m.elements.n_words + further.count() == 10
+
+
+@pytest.mark.parametrize("n_words", [3, 2047])
+def test_scores_against_brute_force(spark, monkeypatch, n_words):
+    """Given the classes, all counts, transitions and probabilities are recomputed from the texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "WORDS", n_words)
+    rng = np.random.default_rng(3)
+    docs = [(k, " ".join(rng.choice(["sun", "moon", "rose", "fell", "the", "The", "a", f"only{k}ing", "x"], int(rng.integers(0, 25))))) for k in range(40)] + [(50, None), (51, "unseen words here rising")]
+    learns = lambda d: d < 30
+    m, further = B.learn(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 30)
+    own = {r.key: r.cls for r in further.collect()}
+    c = Counter(w for d, t in docs if learns(d) for w in words(t))
+
+    def cls(w):
+        if w is None:
+            return m.end_class
+        key = B.tokens(pa.array([w]))[0][:1]
+        at = int(m.elements.of(key)[0])
+        return int(m.classes[at]) if at < m.elements.n_words else own.get(int(key.view(np.int64)[0]), int(m.group_classes(key)[0]))
+
+    assert set(own.values()) <= set(range(B.CLASSES)) and all(cls(w) != m.end_class for w in c if w)
+    pairs, n = Counter(), B.CLASSES
+    for d, t in docs:
+        if learns(d):
+            seq = [m.end_class, *map(cls, words(t))]
+            pairs.update(zip(seq[:-1], seq[1:], strict=True))
+    left, right = Counter(), Counter()
+    for (a, b), k in pairs.items():
+        left[a] += k
+        right[b] += k
+    share = {k: (right[k] + 1) / (sum(right.values()) + n) for k in range(n)}
+    kinds = Counter(cls(w) for w in c)
+    want = {}
+    for d, t in docs:
+        seq = [(None, m.end_class), *((w, cls(w)) for w in words(t))]
+        want[d] = sum(
+            math.log10((pairs[a, b] + B.BETA * share[b]) / (left[a] + B.BETA)) + math.log10((c[w] + 0.5) / (right[b] + 0.5 * (kinds[b] + 1))) for (_, a), (w, b) in zip(seq[:-1], seq[1:], strict=True)
+        )
+    rows = B.score(spark.createDataFrame(docs, "doc_id long, text string"), m, further).collect()
+    assert {r.doc_id: r.score for r in rows} == {d: pytest.approx(x, rel=1e-9) for d, x in want.items()}

@@ -15,12 +15,14 @@ anew with the classes of all words.  Only unseen words have the class of their g
 
 Smoothing: P(word | class) = (c + 0.5) / (class tokens + 0.5 * (class words + 1)), where one slot is
 left for unseen words; P(class | previous) = (n(previous, class) + BETA * P(class)) / (n(previous) +
-BETA).  Counts and classes of the most frequent words (at most HEAD, broadcast) are known on the spot;
+BETA).  Counts and classes of the most frequent words (about HEAD, broadcast) are known on the spot;
 the other words of a text are joined with the vocabulary table.  Words are told apart by 54 hash bits
 and their suffix group.
 
-Null and empty texts are the end alone.  Rows with equal ids are scored one by one; null ids do not
-teach.  Without learning rows every count is 0.  An empty table gives no rows.
+Null and empty texts are the end alone; texts of any length are scored whole, some bytes at a time.
+Rows with equal ids are scored one by one; null ids do not
+teach.  Without learning rows every count is 0.  Extra columns are ignored.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import _text as T
-from tidelog.llm._scratch import written
+from tidelog.llm._scratch import frequent, written
 
 WORDS, GROUPS, CLASSES, HEAD, BETA = 2047, 512, 64, 1 << 18, 2.0
 #: Class of a word that is looked up in the vocabulary table.
@@ -374,24 +376,21 @@ def learn(docs: DataFrame, learn_from, text: str = "text") -> tuple[Model, DataF
     spark = docs.sparkSession
     rows = docs.filter(learn_from).select(F.col(text).alias("text"))
     vocab = written(rows.mapInArrow(_count(lambda col: tokens(col)[0], ["key", "n"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
-    bin_of = F.floor(F.log2("n") * 8).cast("long")  # about 9 % wide: few bins, whatever the corpus
-    bins = sorted(((r.b, r.k) for r in vocab.groupBy(bin_of.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    kept = np.cumsum([k for _, k in bins]) <= HEAD + 1
-    least = min((b for (b, _), ok in zip(bins, kept, strict=True) if ok), default=1 << 40)
+    on_top = frequent(vocab, HEAD, "key")
     end = F.col("key") == int(END.view(np.int64))
     end_count = vocab.filter(end).agg(F.sum("n")).first()[0] or 0
-    head = vocab.filter(~end & (bin_of >= least)).toArrow()
+    head = vocab.filter(~end & on_top).toArrow()
     keys, counts = head["key"].to_numpy().view(T.U64), head["n"].to_numpy().astype(np.int64)
     order = np.lexsort((keys, -counts))
     keys, counts = keys[order], counts[order]
     elements = Elements(T.HashIndex(keys), min(WORDS, len(keys)))
-    frequent = spark.sparkContext.broadcast(Elements(T.HashIndex(keys[:WORDS]), elements.n_words))
+    exchanged = spark.sparkContext.broadcast(Elements(T.HashIndex(keys[:WORDS]), elements.n_words))
 
     def pairs(col: pa.Array) -> np.ndarray:
         key, first = tokens(col)
-        e = frequent.value.of(key).astype(T.U64)
+        e = exchanged.value.of(key).astype(T.U64)
         before = np.roll(e, 1)
-        before[first[:-1]] = frequent.value.n_words
+        before[first[:-1]] = exchanged.value.n_words
         return (before << T.U64(32)) | e
 
     found = rows.mapInArrow(_count(pairs, ["pair", "n"]), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
@@ -400,10 +399,10 @@ def learn(docs: DataFrame, learn_from, text: str = "text") -> tuple[Model, DataF
     grams[pair >> 32, pair & 0xFFFFFFFF] = found["n"].to_numpy()
     cls = exchange(grams, CLASSES, elements.n_words)
     one = np.eye(CLASSES)[cls]
-    start, moves = spark.sparkContext.broadcast((frequent.value, cls)), spark.sparkContext.broadcast(Moves(one.T @ grams @ one))
+    start, moves = spark.sparkContext.broadcast((exchanged.value, cls)), spark.sparkContext.broadcast(Moves(one.T @ grams @ one))
     around = rows.mapInArrow(_neighbours(start), "key long, around int").repartition("key").sortWithinPartitions("key")
     further = written(around.mapInArrow(_assign(start, moves), "key long, n long, cls long"), "classes")
-    in_head = further.filter(bin_of >= least).toArrow()
+    in_head = further.filter(on_top).toArrow()
     head_classes = np.zeros(len(keys), np.uint8)
     head_classes[elements.index.find(in_head["key"].to_numpy().view(T.U64))] = in_head["cls"].to_numpy()
     head_classes[: elements.n_words] = cls[: elements.n_words]
