@@ -16,7 +16,9 @@ No suffix array can hold the corpus, so strings that may be equal are brought to
 4.  First stretches whose minimizer has other contents too are gathered by minimizer.  Where a
     minimizer has more than CROWD contents (the edges of a popular passage), its stretches are cut
     into PARTS by the offset of the minimizer and gathered by all bytes that a part's windows share,
-    after which step 3 is repeated; what still differs are the few bytes at the ends.
+    after which step 3 is repeated; what still differs are the few bytes at the ends.  Parts of which
+    there are more than CROWD even then are taken apart into their windows, a few each, of which equal
+    ones (by 128 hash bits) are pre-aggregated.  So no group of step 5 has more than CROWD contents.
 5.  A task sorts the suffixes of its stretches (two-stage sort below), and adjacent common prefixes
     of at least ``length`` bytes form classes of equal windows; all but the earliest of each class
     are removed.
@@ -26,8 +28,8 @@ scanning the buckets of first bytes from the smallest on, each scanned suffix pl
 predecessor at the next free place of its bucket (whole buckets at a time, and runs of one byte in
 rounds).  Sorting stops at ``length`` bytes, as no later byte matters.
 
-Null texts are empty; texts shorter than ``length`` keep all bytes.  Null ids come before all others.
-Rows with one id are documents ordered by a hash of the text; rows with equal id and text are one
+Null texts are empty; texts of any length are taken whole, CHUNK bytes at a time; texts shorter than ``length`` keep all bytes.  Null ids come before all others.
+Ids are cast to longs; an id that is no number raises an error.  Rows with one id are documents ordered by a hash of the text; rows with equal id and text are one
 document and share their fate.  Extra columns are ignored.  An empty table gives no rows.
 """
 
@@ -301,6 +303,24 @@ def _cut(length: int):
     return T.lean(run)
 
 
+def _windows(length: int):
+    """The single windows of parts, with their hashes as gathering key and content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                piece = b.slice(at, 2000)
+                d, th, pos, n = (piece.column(c).to_numpy() for c in ("d", "th", "pos", "n"))
+                buf = np.frombuffer(b"".join(piece.column("bytes").to_pylist()), np.uint8)
+                size = n + length - 1
+                begin = np.cumsum(size) - size
+                start, row, one = T.spans_index(begin, n), np.repeat(np.arange(len(n)), n), np.full(int(n.sum()), length)
+                c1, c2 = (T.hash_spans(buf, start, one, seed=k).view(np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_pydict({"mh": pa.array(c1), "d": pa.array(d[row]), "th": pa.array(th[row]), "pos": pa.array(pos[row] + start - begin[row]), "n": pa.array(np.ones(len(row), np.int64)), "c1": pa.array(c1), "c2": pa.array(c2)})
+
+    return T.lean(run)
+
+
 def _finish_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in T.slices(whole, "text"):
@@ -364,7 +384,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     parts = wide.filter(F.col("contents") > CROWD).drop("contents").mapInArrow(_cut(length), narrow + ", bytes binary")
     crowd = written(judged(written(parts, "parts")).drop("first"), "crowd")
-    gone = covered(first_level).union(by_suffixes(wide.filter(F.col("contents") <= CROWD))).union(covered(crowd)).union(by_suffixes(crowd.filter("is_first")))
+    again = written(crowd.filter("is_first").groupBy("mh").agg(F.count("*").alias("contents")), "contents")
+    kept = written(crowd.filter("is_first").join(again, "mh"), "parts_left")
+    single = judged(written(kept.filter(F.col("contents") > CROWD).mapInArrow(_windows(length), narrow), "windows"))
+    gone = covered(first_level).union(covered(crowd)).union(covered(single))
+    gone = gone.union(by_suffixes(wide.filter(F.col("contents") <= CROWD))).union(by_suffixes(kept.filter(F.col("contents") <= CROWD)))
     per_doc = gone.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # at most as many as the document has windows
     kind = docs.schema[doc_id].dataType.simpleString()
     done = keyed.join(per_doc, ["d", "th"], "left").select("doc_id", "text", "spans")
