@@ -62,3 +62,48 @@ def test_small_and_empty(spark):
 def test_shards_split_long_lists():
     first, n = I.deal({0: 10, 1: 5000, 2: 900, 3: 200, 5: 1}, 6)
     assert n.tolist() == [1, 5, 1, 1, 1, 1] and first.tolist() == [0, 1, 6, 7, 7, 7]
+
+
+def test_query_on_an_empty_table_and_repeated_ids(spark, tmp_path):
+    kind = "vec_id long, embedding array<double>, code int"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert op2_ivfpq(spark, f"{tmp_path}/none").count() == 0
+    rows = [(0, [1.0, 0.0], 1), (0, [0.9, 0.1], 1), (1, [0.5, 0.5], 1), (1, [0.2, 0.5], 1), (2, [0.5, 0.5], 1)]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/some/embeddings.parquet")
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in op2_ivfpq(spark, f"{tmp_path}/some").collect())
+    assert {f[2] for f in found} == {1, 2} and all(f[0] == 0 for f in found)  # never its own id
+
+
+def test_merging_in_levels(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = I.usable(df)
+    index = I.fit(rows)
+    assert len(index.centers) == 54
+    index.probes = len(index.centers)
+    want = None
+    for shard, group in ((1024, 64), (64, 3)):
+        monkeypatch.setattr(I, "SHARD", shard)
+        monkeypatch.setattr(I, "GROUP", group)
+        monkeypatch.setattr(I.deal, "__defaults__", (shard,))
+        got = sorted(tuple(r) for r in I.search(I.encode(rows, index), rows.filter("vec_id % 100 = 0"), index).collect())
+        hits = {}
+        for q, _, v, _ in got:
+            hits.setdefault(q, set()).add(v)
+        exact = brute(np.arange(3000), x, np.arange(0, 3000, 100))
+        assert np.mean([len(hits[q] & {v for v, _ in exact[q]}) / 20 for q in exact]) > 0.97
+        want = want or {q for q, *_ in got}
+        assert {q for q, *_ in got} == want
+
+
+def test_the_share_of_probed_lists_falls_with_the_rows():
+    """On clustered vectors, at the same aim."""
+    rng = np.random.default_rng(1)
+    shares = []
+    for lists in (16, 64, 256):
+        centers = rng.normal(size=(64, 16))
+        x = centers[rng.integers(0, 64, 4096)] + 0.3 * rng.normal(size=(4096, 16))
+        index = I.learned(x, lists, 8, 0.97, 20, 3)
+        shares.append(index.probes / lists)
+    assert shares[0] > shares[1] > shares[2]

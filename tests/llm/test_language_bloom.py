@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -51,3 +52,31 @@ def test_edges(spark):
     none = L.learn(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"}
     assert L.identify(docs.limit(0), f).count() == 0
+
+
+def test_query_against_brute_force(spark, sf):
+    """Exact n-gram sets in place of the filters: the same languages, nearly the same scores."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def grams(t):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        return [s[i : i + n] for n in L.ORDERS for i in range(len(s) - n + 1)]
+
+    taught = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 3 != 1 and d.lang is not None and d.text is not None]
+    size = Counter(d.lang for d in taught)
+    held = defaultdict(Counter)
+    for d in taught:
+        for g in set(grams(d.text)):
+            held[g][d.lang] += 1
+    known = {g: {k for k, m in n.items() if m >= 2 and m / size[k] >= 0.1 * max(x / size[j] for j, x in n.items())} for g, n in held.items()}
+    got = {r.doc_id: r for r in op1_language_bloom(spark, sf).collect()}
+    for d in docs:
+        if not any(c.isalpha() for c in d.text or ""):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0)
+            continue
+        counts = Counter(k for g in grams(d.text) for k in known.get(g, ()))
+        (best, top), *rest = sorted(counts.items(), key=lambda x: (-x[1], -size[x[0]], x[0])) or [(None, 0)]
+        second = rest[0][1] if rest else 0
+        if top - second > 3:
+            assert got[d.doc_id].lang_pred == best
+            assert abs(got[d.doc_id].score - top / (top + second)) < 0.02

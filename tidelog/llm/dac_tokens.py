@@ -15,7 +15,8 @@ the next level, at the rank of that bit.  The rank directory has the number of s
 holds; nothing is decoded around it.  A page holds whole documents of about ``PAGE_BYTES`` of text.
 
 Document order is ascending id, null ids first; rows with one id are ordered by a hash of the text.
-Null and empty texts are the end id alone.  Extra columns are ignored.  An empty table gives no
+Ids are cast to longs; an id that is no number raises an error.  Null and empty texts are the end id
+alone; a long text is one document of one page, however long.  Extra columns are ignored.  An empty table gives no
 rows.  Texts are encoded piece by piece (see piece_starts), with the ids of pieces seen before at hand.
 """
 

@@ -111,7 +111,12 @@ def fit(vectors: DataFrame, sample: int = 65536, lists: int | None = None, parts
     size = rows["embedding"].combine_chunks().value_lengths().to_numpy()
     dim = int(np.bincount(size).argmax())
     x = matrix(rows["embedding"].combine_chunks().filter(pa.array(size == dim)))
-    rng = np.random.default_rng(seed)
+    return learned(x, lists, parts, aim, k, seed)
+
+
+def learned(x: np.ndarray, lists: int, parts: int, aim: float, k: int, seed: int) -> Index:
+    """The index from a sample of vectors."""
+    dim, rng = x.shape[1], np.random.default_rng(seed)
     centers = k_means(x, lists, rng)
     rest = x - centers[nearest(x, centers)]
     cut = np.linspace(0, dim, min(parts, dim) + 1).astype(int)

@@ -13,7 +13,8 @@ is put into a language's filter if at least ``min_docs`` sampled documents of th
 and its share of them is at least ``min_share`` of its largest share in any language, so foreign
 passages do not spoil a filter.  Only fixed-size filters reach the driver.
 
-Prediction reads the whole text and nothing else.  ``und`` (score 0) for null texts and texts without
+Prediction reads the whole text, of any length, and nothing else.  Rows are judged one by one, whatever
+their ids; extra columns are ignored; an empty table gives no rows.  ``und`` (score 0) for null texts and texts without
 a letter.  The score is the winner's share of the corrected counts of the best two.  Ties go to the
 language with more learning rows, then by name.  If no n-gram is known, the most frequent language is
 predicted with score 0; without learned languages every text is ``und``.
