@@ -13,7 +13,7 @@ from tidelog.streaming import replay
 def test_segments_on_disk(spark, sf, tmp_path):
     log = read_log(spark, sf).withColumn("segment", F.floor(F.col("seq") / 256))
     path = f"{tmp_path}/level"
-    device.append(log, path)
+    device.append(log, path, codec="lz4")
     key = log.first().key_str
     found = device.lookup(spark, path, key)
     assert "EqualTo(key_str" in found._jdf.queryExecution().toString() and found.count() == log.filter(F.col("key_str") == key).count()

@@ -313,7 +313,7 @@ upper_run AS (SELECT * FROM w WHERE seq >= (SELECT avg(event_id) FROM events) QU
 
 def _two_runs(spark, sf_dir):
     log = writes(read_log(spark, sf_dir))
-    half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.avg("event_id")).first()[0]
+    half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.avg("event_id")).scalar()
     one = lambda rows: read.latest(rows).drop("is_deleted").select(*log.columns)
     return one(log.filter(F.col("seq") >= half)), one(log.filter(F.col("seq") < half))
 

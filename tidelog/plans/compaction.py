@@ -9,26 +9,36 @@ from tidelog.operators.merge import drop_tombstones, merge
 from tidelog.operators.read import latest
 
 
+def edges(upper: DataFrame, lower: DataFrame) -> tuple[tuple, tuple]:
+    """Least and greatest key of both, by one job over the key column."""
+    both = upper.select(F.lit(0).alias("side"), "key_str").unionByName(lower.select(F.lit(1).alias("side"), "key_str"))
+    found = {r.side: (r.lo, r.hi) for r in both.groupBy("side").agg(F.min("key_str").alias("lo"), F.max("key_str").alias("hi")).collect()}
+    return found.get(0, (None, None)), found.get(1, (None, None))
+
+
+def _move(upper: tuple, lower: tuple) -> str:
+    if lower[0] is None or upper[0] is None:
+        return "empty"
+    return "trivial" if upper[1] < lower[0] or lower[1] < upper[0] else "partial"
+
+
 def decide(upper: DataFrame, lower: DataFrame) -> str:
     """empty (lower has no runs: move all), trivial (ranges are disjoint: move without a merge) or
     partial (merge the overlap)."""
-    edge = lambda df: df.agg(F.min("key_str").alias("lo"), F.max("key_str").alias("hi")).first()
-    a, b = edge(upper), edge(lower)
-    if b.lo is None or a.lo is None:
-        return "empty"
-    return "trivial" if a.hi < b.lo or b.hi < a.lo else "partial"
+    return _move(*edges(upper, lower))
 
 
 def level_down(upper: DataFrame, lower: DataFrame, last_level: bool) -> DataFrame:
     """The lower level after the upper one has been merged into it.  Lower rows outside the upper's key
-    range pass by without a shuffle."""
-    how = decide(upper, lower)
+    range pass by without a shuffle.  The edges of both levels are read when this is called."""
+    own, below = edges(upper, lower)
+    how = _move(own, below)
     rows = lambda df: df.withColumn("is_deleted", F.col("op") == "DELETE")
     if how != "partial":
         return drop_tombstones(rows(upper.unionByName(lower)), last_level)
-    lo, hi = upper.agg(F.min("key_str"), F.max("key_str")).first()
-    inside = F.col("key_str").between(lo, hi)
-    return drop_tombstones(merge(upper, lower.filter(inside)).unionByName(rows(lower.filter(~inside)).select(*merge(upper, lower).columns)), last_level)
+    inside = F.col("key_str").between(*own)
+    merged = merge(upper, lower.filter(inside))
+    return drop_tombstones(merged.unionByName(rows(lower.filter(~inside)).select(*merged.columns)), last_level)
 
 
 def compact_all(levels: list[DataFrame]) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append(rows: DataFrame, path: str, segment: str = "segment") -> None:
-    """Adds immutable files, a directory per segment; rows are sorted within files for min/max pruning."""
-    rows.repartition(segment).sortWithinPartitions(segment, "key_str").write.mode("append").partitionBy(segment).parquet(path)
+def append(rows: DataFrame, path: str, segment: str = "segment", codec: str = "snappy") -> None:
+    """Adds immutable files, a directory per segment; rows are sorted within files for min/max pruning.
+    codec: how pages are compressed (snappy, lz4, zstd, none)."""
+    rows.repartition(segment).sortWithinPartitions(segment, "key_str").write.mode("append").option("compression", codec).partitionBy(segment).parquet(path)
 
 
 def trim(spark: SparkSession, path: str, segments: list[int], segment: str = "segment") -> None:
