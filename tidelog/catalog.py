@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashes, keys, sizing
 from tidelog.operators import caches, gc, hashmap, merge, pages, read, search, stats, txn, write
 from tidelog.plans import compaction
+from tidelog.schema import GEOMETRY
 from tidelog.sources import requests, workloads
 from tidelog.sources.log import read_log, writes
 
@@ -131,7 +132,7 @@ def prefix_scan_keys(spark, sf_dir):
 
 @query(f"{_LOG}, page AS ({_PAGE.format(rows='latest', n=5)}) SELECT inode, pos::INT AS pos, block, key_str, value, payload, has_more FROM page WHERE pos <= 5 AND NOT is_deleted")
 def scan_page_compat(spark, sf_dir):
-    return read.cursor(_state(spark, sf_dir), 5, start_block=10, filter_first=False, cut_values=True)
+    return read.cursor(_state(spark, sf_dir), 5, start_block=10, filter_first=False, cut_values=True, cap=GEOMETRY.scan_row_cap)
 
 
 @query(f"{_LOG} SELECT inode, count(*) > 5 AS has_more FROM live WHERE block > 10 GROUP BY inode")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.merge import numbered_within
 from tidelog.operators.read import KEY
 from tidelog.schema import GEOMETRY
 from tidelog.sources.log import writes
@@ -76,9 +77,10 @@ def remapped(rows: DataFrame, bad: DataFrame, spares: DataFrame) -> DataFrame:
 
 def pack(rows: DataFrame, per_page: int, by: str = "inode", order: str | tuple[str, ...] = "seq") -> DataFrame:
     """Rows of each queue dealt to pages in the given order: of arrival, or of logical addresses, as a
-    buffer does that sorts before it writes."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*([order] if isinstance(order, str) else order))) - 1
-    return rows.withColumn("pos", at).withColumn("page_no", F.floor(F.col("pos") / per_page)).withColumn("slot", F.pmod("pos", F.lit(per_page)))
+    buffer does that sorts before it writes.  The first column of the order is a number."""
+    first, *ties = [order] if isinstance(order, str) else order
+    placed = numbered_within(rows, by, first, ties=tuple(ties)).withColumn("pos", F.col("pos").cast("int"))
+    return placed.withColumn("page_no", F.floor(F.col("pos") / per_page)).withColumn("slot", F.pmod("pos", F.lit(per_page)))
 
 
 def _room(pieces: np.ndarray, used: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,22 +39,32 @@ def numbered(rows: DataFrame, group: str = "inode", order: str = "block", width:
     No window spans the table or a crowded group: rows are counted by group and ``width`` values of
     order, these counts are summed up within the group, the groups within blocks of ``width`` groups, the
     blocks within blocks of blocks, and a window numbers the rows of one such part of a group."""
-    same = lambda a, b, *cols: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in cols))
     before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.groupBy(group, F.floor(F.col(order) / width).alias("part")).agg(F.count("*").alias("n"))
-    groups = parts.groupBy(group).agg(F.sum("n").alias("n")).withColumn("coarse", F.floor(F.col(group) / width)).withColumn("outer", F.floor(F.col(group) / width**2))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    groups = sizes.withColumn("coarse", F.floor(F.col(group) / width)).withColumn("outer", F.floor(F.col(group) / width**2))
     blocks = groups.groupBy("outer", "coarse").agg(F.sum("n").alias("n"))
     top = blocks.groupBy("outer").agg(F.sum("n").alias("n")).select("outer", before("outer").alias("b3"))
     blocks = blocks.select("outer", "coarse", before("outer", "coarse").alias("b2"))
-    blocks = blocks.join(top, same(blocks, top, "outer")).select(blocks.coarse, (F.col("b2") + F.col("b3")).alias("b2"))
+    blocks = blocks.join(top, blocks["outer"].eqNullSafe(top["outer"])).select(blocks.coarse, (F.col("b2") + F.col("b3")).alias("b2"))
     groups = groups.select(group, "coarse", before("coarse", group).alias("b1"))
-    groups = groups.join(blocks, same(groups, blocks, "coarse")).select(groups[group], (F.col("b1") + F.col("b2")).alias("b1"))
-    parts = parts.select(group, "part", before(group, "part").alias("b0"))
-    starts = parts.join(groups, same(parts, groups, group)).select(parts[group].alias("__group"), F.col("part").alias("__part"), (F.col("b0") + F.col("b1")).alias("__start"))
-    own = rows.withColumn("__own", F.floor(F.col(order) / width))
-    at = F.row_number().over(Window.partitionBy(group, "__own").orderBy(order)) - 1
-    placed = own.join(starts, own[group].eqNullSafe(starts["__group"]) & own["__own"].eqNullSafe(starts["__part"]))
-    return placed.withColumn("pos", F.col("__start") + at).drop("__own", "__group", "__part", "__start")
+    groups = groups.join(blocks, groups["coarse"].eqNullSafe(blocks["coarse"])).select(F.col(group).alias("__group"), (F.col("b1") + F.col("b2")).alias("__start"))
+    placed = numbered_within(rows, group, order, width)
+    return placed.join(groups, placed[group].eqNullSafe(groups["__group"])).withColumn("pos", F.col("pos") + F.col("__start")).drop("__group", "__start")
+
+
+def numbered_within(rows: DataFrame, group: str, order: str, width: int = 1024, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``pos``, their 0-based place in their group by order (a number) and ties.
+
+    Rows are counted by group and stretches of ``width`` values of order, the counts are summed up within
+    the group, and a window numbers the rows of one stretch, so a crowded group is many tasks."""
+    part = F.floor(F.col(order) / width)
+    counts = rows.groupBy(F.col(group).alias("__g"), part.alias("__p")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__g", "__p", F.coalesce(upto, F.lit(0)).alias("__before"))
+    own = rows.withColumn("__part", part)
+    at = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order, *ties)) - 1
+    placed = own.join(starts, own[group].eqNullSafe(starts["__g"]) & own["__part"].eqNullSafe(starts["__p"]))
+    return placed.withColumn("pos", F.col("__before") + at).drop("__part", "__g", "__p", "__before")
 
 
 def segments(rows: DataFrame, size: int = GEOMETRY.segment_rows) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashes import murmur3_many
@@ -12,8 +12,8 @@ from tidelog.functions.hashes import murmur3_many
 
 def delta_encode(rows: DataFrame, *keep: str) -> DataFrame:
     """Each row's block as its prefix's first block plus a delta; further columns to keep."""
-    base = F.min("block").over(Window.partitionBy("inode"))
-    return rows.select(*keep, "inode", "block", base.alias("base"), (F.col("block") - base).alias("delta"))
+    base = rows.groupBy("inode").agg(F.min("block").alias("base"))  # a row a prefix, so a crowded one stays spread
+    return rows.join(base, "inode").select(*keep, "inode", "block", "base", (F.col("block") - F.col("base")).alias("delta"))
 
 
 def delta_decode(rows: DataFrame) -> DataFrame:

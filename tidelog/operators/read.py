@@ -48,14 +48,15 @@ def multi_get(requests: DataFrame, state: DataFrame, length: Column | int = 8) -
     return wanted.join(live, ["inode", "block"], "left").select("req", "pos", "inode", "block", F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
-def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = True, keys_only: bool = False, filter_first: bool = True, cut_values: bool = False) -> DataFrame:
+def cursor(state: DataFrame, n: int, start_block: int = 0, inclusive: bool = True, keys_only: bool = False, filter_first: bool = True, cut_values: bool = False, cap: int | None = None) -> DataFrame:
     """One page of each prefix (inode): its first n rows from start_block on, in key order, and
     whether more remain.  filter_first=False counts tombstones towards n before they are dropped.
     cut_values gives the first characters of a payload only, as many as GEOMETRY.scan_value_bytes.
+    cap bounds n, as a store of a fixed page does (GEOMETRY.scan_row_cap); none is the default.
 
     Only n + 1 rows of a prefix can be in its page, so a rank limit lets Spark drop the others before
     the shuffle."""
-    n = min(n, GEOMETRY.scan_row_cap)
+    n = n if cap is None else min(n, cap)
     at = F.col("block") >= start_block if inclusive else F.col("block") > start_block
     rows = state.filter(at)
     if filter_first:
@@ -89,11 +90,11 @@ def still_current(pairs: DataFrame, state: DataFrame) -> DataFrame:
     return pairs.join(state.select(*KEY, "seq"), [*KEY, "seq"], "left_semi")
 
 
-def range_get(state: DataFrame, start_key: str, n: int, inclusive: bool = True) -> DataFrame:
-    """The first n live rows from start_key on, within its prefix (the first ten digits)."""
+def range_get(state: DataFrame, start_key: str, n: int, inclusive: bool = True, cap: int | None = None) -> DataFrame:
+    """The first n live rows (cap at most) from start_key on, within its prefix (the first ten digits)."""
     at = F.col("key_str") >= start_key if inclusive else F.col("key_str") > start_key
     rows = state.filter(at & F.col("key_str").startswith(start_key[:10]) & ~F.col("is_deleted"))
-    return rows.orderBy("key_str").limit(min(n, GEOMETRY.scan_row_cap))
+    return rows.orderBy("key_str").limit(n if cap is None else min(n, cap))
 
 
 def bounds(probes: DataFrame, keys: DataFrame, by: str = "inode", at: str = "block") -> DataFrame:
