@@ -484,6 +484,17 @@ def level_memory(spark, sf_dir):
     return stats.level_memory(_runs(spark, sf_dir), 0.01)
 
 
+@query(f"""{_WORK}, m2 AS (SELECT op AS name, count(*) AS n, sum(floor(abs(value) * 1000)::BIGINT)::BIGINT AS us FROM log GROUP BY op)
+SELECT * FROM m2 UNION ALL SELECT 'merged_in', merged_in, NULL FROM work UNION ALL SELECT 'merged_out', merged_out, NULL FROM work UNION ALL SELECT 'relocated', relocated, NULL FROM work UNION ALL SELECT 'freed', freed, NULL FROM work""")
+def monitor(spark, sf_dir):
+    return stats.monitor(read_log(spark, sf_dir), _work(spark, sf_dir))
+
+
+@query(f"{_LOG} SELECT inode, count(*) AS n, ceil(log2(count(*) + 1))::BIGINT AS height FROM live GROUP BY inode")
+def tree_shape(spark, sf_dir):
+    return stats.tree_shape(_state(spark, sf_dir).filter("NOT is_deleted"))
+
+
 @query(f"{_LOG} SELECT inode % 4 AS level, count(*) FILTER (op = 'SET') AS n_set, count(*) FILTER (op = 'GET') AS n_get, count(*) FILTER (op = 'RMW') AS n_rmw, count(*) FILTER (op = 'DELETE') AS n_delete FROM log GROUP BY 1")
 def device_traffic(spark, sf_dir):
     return stats.traffic(read_log(spark, sf_dir))
@@ -516,6 +527,21 @@ def gc_victim(spark, sf_dir):
     return gc.victims(gc.segment_state(gc.placed(read_log(spark, sf_dir))))
 
 
+@query(f"""{_LOG}, state AS (SELECT part, segment, count(*) FILTER (alive) AS valid, count(*) FILTER (NOT alive) AS invalid FROM placed GROUP BY 1, 2)
+SELECT part, segment, valid, invalid FROM state WHERE invalid > 0 QUALIFY row_number() OVER (PARTITION BY part ORDER BY invalid - 2 * valid DESC, segment) = 1""")
+def gc_victim_by_score(spark, sf_dir):
+    """Victims by a score of the caller's: what is freed less what must be moved."""
+    return gc.victims(gc.segment_state(gc.placed(read_log(spark, sf_dir))), F.col("invalid") - 2 * F.col("valid"))
+
+
+@query(f"{_LOG} SELECT seq, ((seq % 4) * 8 + seq % 8) * 512 + seq % 512 AS idx, seq % 4 AS channel, seq % 8 AS chip, seq % 512 AS block FROM w")
+def block_address(spark, sf_dir):
+    """Channel, chip and block as one number and back."""
+    at = lambda n: F.pmod("seq", F.lit(n))
+    rows = writes(read_log(spark, sf_dir)).select("seq", gc.block_index(at(4), at(8), at(512)).alias("idx"))
+    return rows.select("seq", "idx", gc.block_place(F.col("idx")).alias("p")).select("seq", "idx", "p.*")
+
+
 @query(f"{_LOG} SELECT seq, inode, block FROM placed WHERE alive")
 def gc_live_pairs(spark, sf_dir):
     return gc.live(gc.placed(read_log(spark, sf_dir))).select("seq", "inode", "block")
@@ -596,6 +622,25 @@ def delta_encode(spark, sf_dir):
     return pages.delta_encode(_state(spark, sf_dir).filter("NOT is_deleted"))
 
 
+@query(f"{_CUT} SELECT pos // 510 AS segment, (pos % 510)::INT AS at, key_str || '@' || pos AS seen FROM cut")
+def visited_keys(spark, sf_dir):
+    """A visitor over the keys of packed segments."""
+    packed = pages.pack_keys(merge.segments(_state(spark, sf_dir).filter("NOT is_deleted")))
+    return pages.visit_keys(packed, lambda k: F.concat_ws("@", k["key_str"], k["pos"].cast("string")))
+
+
+@query(f"""{_LOG.replace("WITH log", "WITH RECURSIVE log")}, k AS (SELECT inode, block, row_number() OVER (PARTITION BY inode ORDER BY block) - 1 AS pos, count(*) OVER (PARTITION BY inode) AS n FROM live),
+walk AS (SELECT DISTINCT inode, n, 1::BIGINT AS node FROM k UNION ALL SELECT inode, n, 2 * node + c FROM walk, (VALUES (0), (1)) t(c) WHERE 2 * node + c <= n),
+spelt AS (SELECT inode, node, rpad(replace(replace(substr(bin(node), 2), '0', 'a'), '1', 'c'), 40, 'b') AS way FROM walk),
+inorder AS (SELECT inode, node, row_number() OVER (PARTITION BY inode ORDER BY way) - 1 AS pos FROM spelt)
+SELECT inode, block, pos, node FROM k JOIN inorder USING (inode, pos)""")
+def search_layout(spark, sf_dir):
+    """Keys of each prefix in the layout of a complete search tree (its SQL walks the tree in order)."""
+    live = _state(spark, sf_dir).filter("NOT is_deleted")
+    placed = merge.numbered_within(live, "inode", "block").join(live.groupBy("inode").agg(F.count("*").alias("n")), "inode")
+    return pages.search_layout(placed, F.col("n")).select("inode", "block", "pos", "node")
+
+
 @query(f"{_LOG} SELECT inode, block FROM live")
 def delta_decode(spark, sf_dir):
     return pages.delta_decode(pages.delta_encode(_state(spark, sf_dir).filter("NOT is_deleted")))
@@ -766,6 +811,15 @@ def level_sizing(spark, sf_dir):
     return spark.createDataFrame(rows, "total long, levels long, factor double, first_rate double")
 
 
+@query(f"""{_LOG} SELECT seq AS cookie, CASE op WHEN 'GET' THEN 'READ' WHEN 'DELETE' THEN 'TRIM' WHEN 'RMW' THEN 'FLUSH' ELSE 'WRITE' END AS op, block * 4096 + seq % 512 AS "offset", length(payload) * 512 AS length,
+  block + (seq % 512) // 4096 AS first_page, CASE WHEN op = 'RMW' THEN 0 ELSE (block * 4096 + seq % 512 + length(payload) * 512 - 1) // 4096 - block + 1 END AS pages, CASE WHEN op = 'SET' THEN payload ELSE '' END AS payload FROM log""")
+def block_commands(spark, sf_dir):
+    """Requests as frames of a network block device, decoded again."""
+    kind = F.when(F.col("op") == "GET", "READ").when(F.col("op") == "DELETE", "TRIM").when(F.col("op") == "RMW", "FLUSH").otherwise("WRITE")
+    rows = read_log(spark, sf_dir).select(F.col("seq").alias("cookie"), kind.alias("op"), (F.col("block") * 4096 + F.pmod("seq", F.lit(512))).alias("offset"), (F.length("payload") * 512).alias("length"), "payload")
+    return requests.decode_block_commands(requests.encode_block_commands(rows)).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
 @query(f"{_LOG} SELECT op, count(*) AS n FROM log GROUP BY op")
 def op_mix(spark, sf_dir):
     return read_log(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))

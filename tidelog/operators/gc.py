@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.merge import numbered_within
@@ -50,9 +50,21 @@ def segment_state(rows: DataFrame, transactions: bool = False) -> DataFrame:
     return marked.groupBy("part", "segment").agg(F.count_if("alive").alias("valid"), F.count_if(~F.col("alive")).alias("invalid"))
 
 
-def victims(state: DataFrame) -> DataFrame:
-    """Each partition's segment with most invalid pages (ties: the oldest); none without invalid pages."""
-    best = F.max_by(F.struct("segment", "valid", "invalid"), F.struct("invalid", -F.col("segment"))).alias("v")
+def block_index(channel: Column, chip: Column, block: Column, chips: int = 8, blocks: int = 512) -> Column:
+    """The number of a block, from its channel, chip and place in the chip."""
+    return (channel * chips + chip) * blocks + block
+
+
+def block_place(index: Column, chips: int = 8, blocks: int = 512) -> Column:
+    """struct(channel, chip, block) of a block's number."""
+    return F.struct(F.floor(index / (chips * blocks)).alias("channel"), F.pmod(F.floor(index / blocks), F.lit(chips)).alias("chip"), F.pmod(index, F.lit(blocks)).alias("block"))
+
+
+def victims(state: DataFrame, score: Column | None = None) -> DataFrame:
+    """Each partition's segment with most invalid pages, or the greatest score (ties: the oldest); none
+    without invalid pages."""
+    rank = F.col("invalid") if score is None else score
+    best = F.max_by(F.struct("segment", "valid", "invalid"), F.struct(rank.alias("rank"), -F.col("segment"))).alias("v")
     return state.filter("invalid > 0").groupBy("part").agg(best).select("part", "v.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashes import murmur3_many
@@ -31,6 +31,27 @@ def pack_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("key_str", "pos"))).alias("keys"))
 
 
+def visit_keys(packed: DataFrame, visitor) -> DataFrame:
+    """Each segment's keys, in order, as visitor makes them (a function of the column of one key)."""
+    return packed.select("segment", F.posexplode(F.transform("keys", visitor)).alias("at", "seen"))
+
+
+def search_layout(rows: DataFrame, n: Column) -> DataFrame:
+    """Rows with ``node`` (from 1), the place of their pos (0 to n - 1) in the breadth-first layout of the
+    complete search tree: the children of node k are 2k and 2k + 1.
+
+    In a perfect tree the q-th key (from 1) lies as many levels above the leaves as q has trailing zero
+    bits.  The leaves of the last level come between the first keys; behind them the tree is the perfect
+    one without that level."""
+    height = F.floor(F.log2(n))
+    leaves = n - F.pow(F.lit(2), height).cast("long") + 1
+    deep = F.col("pos") < 2 * leaves
+    q, h = F.when(deep, F.col("pos") + 1).otherwise(F.col("pos") - leaves + 1), F.when(deep, height).otherwise(height - 1)
+    zeros = F.bit_count(q.bitwiseAND(-q) - 1)
+    node = F.pow(F.lit(2), h - zeros).cast("long") + F.floor(q / F.pow(F.lit(2), zeros + 1))
+    return rows.withColumn("node", node)
+
+
 def unpack_keys(packed: DataFrame) -> DataFrame:
     return packed.select("segment", F.explode("keys").alias("k")).select("segment", "k.key_str", "k.pos")
 

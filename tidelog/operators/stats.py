@@ -74,6 +74,19 @@ def amplification(log: DataFrame, work: DataFrame) -> DataFrame:
     return total.withColumn("waf", F.col("device_writes") / F.col("user_writes")).withColumn("raf", F.col("device_reads") / F.col("user_reads"))
 
 
+def monitor(log: DataFrame, work: DataFrame) -> DataFrame:
+    """Counters by name: requests and microseconds of each operation, and rows that maintenance moved."""
+    asked = latencies(log).groupBy(F.col("op").alias("name")).agg(F.count("*").alias("n"), F.sum("us").alias("us"))
+    names = ("merged_in", "merged_out", "relocated", "freed")
+    moved = work.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names))).alias("c")).select("c.name", "c.n", F.lit(None).cast("long").alias("us"))
+    return asked.unionByName(moved)
+
+
+def tree_shape(rows: DataFrame, by: str = "inode") -> DataFrame:
+    """Keys of each prefix and the height of a balanced tree over them."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("height", F.ceil(F.log2(F.col("n") + 1)))
+
+
 def traffic(log: DataFrame) -> DataFrame:
     """Requests of each level (inode mod 4) by operation, a column each."""
     count = lambda op: F.count_if(F.col("op") == op).alias(f"n_{op.lower()}")

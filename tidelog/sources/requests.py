@@ -84,6 +84,34 @@ def explode_requests(vectors: DataFrame) -> DataFrame:
     return vectors.select("tid", F.posexplode("requests").alias("seq", "r")).select("tid", "seq", "r.op", "r.key", "r.offset", "r.length", "r.value")
 
 
+#: The request header of the public network block device protocol (all numbers big-endian).
+NBD_MAGIC = "25609513"
+NBD_TYPES = {0: "READ", 1: "WRITE", 2: "DISCONNECT", 3: "FLUSH", 4: "TRIM"}
+
+
+def encode_block_commands(rows: DataFrame) -> DataFrame:
+    """Frames of a network block device from rows (cookie, op, offset, length, payload)."""
+    kind = F.create_map(*(F.lit(x) for k, v in NBD_TYPES.items() for x in (v, k)))[F.col("op")]
+    number = lambda c, width: F.unhex(F.lpad(F.hex(c), width, "0"))
+    head = F.concat(F.unhex(F.lit(NBD_MAGIC)), number(F.lit(0), 4), number(kind, 4), number(F.col("cookie"), 16), number(F.col("offset"), 16), number(F.col("length"), 8))
+    return rows.select(F.concat(head, F.when(F.col("op") == "WRITE", F.coalesce(F.encode("payload", "UTF-8"), F.encode(F.lit(""), "UTF-8"))).otherwise(F.encode(F.lit(""), "UTF-8"))).alias("frame"))
+
+
+def decode_block_commands(frames: DataFrame, column: str = "frame", page_bytes: int = 4096) -> DataFrame:
+    """(cookie, op, offset, length, first_page, pages, payload) of frames of a network block device; frames
+    of another magic or type raise an error.  Flushes and disconnects touch no pages."""
+    part = lambda at, n: F.conv(F.hex(F.substring(F.col(column), at, n)), 16, 10).cast("long")
+    name = F.create_map(*(F.lit(x) for k, v in NBD_TYPES.items() for x in (k, v)))[part(7, 2).cast("int")]
+    known = F.hex(F.substring(F.col(column), 1, 4)) == NBD_MAGIC
+    rows = frames.select(
+        part(9, 8).alias("cookie"), F.coalesce(F.when(known, name), F.raise_error(F.lit("not a block command")).cast("string")).alias("op"),
+        part(17, 8).alias("offset"), part(25, 4).alias("length"), F.substring(F.col(column), 29, 1 << 30).alias("payload"),
+    )
+    first, data = F.floor(F.col("offset") / page_bytes), F.col("op").isin("READ", "WRITE", "TRIM") & (F.col("length") > 0)
+    pages = F.when(data, F.floor((F.col("offset") + F.col("length") - 1) / page_bytes) - first + 1).otherwise(F.lit(0))
+    return rows.select("cookie", "op", "offset", "length", first.alias("first_page"), pages.alias("pages"), "payload")
+
+
 def translate(rows: DataFrame, column: str = "file_op") -> DataFrame:
     """Rows with the store's op and opcode of a file-system request; unknown requests raise an error."""
     lookup = lambda table, c: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[c]
