@@ -13,7 +13,8 @@ ancestors; terminal nodes store the counts of their pre-tokens.
     -log(rank + SHIFT), ``rounds`` times, every pre-token is segmented and its pieces are counted, from
     the deepest nodes of the trie to its root; a piece then scores log((count + 0.5) / (all + ...)).
 3.  Tokens and scores of all distinct pre-tokens are one table.  The most frequent ones (about HEAD,
-    broadcast) are known on the spot when texts are read; the others of a text are joined with it.
+    broadcast) are known on the spot when texts are read; the others of a text are joined with it by 64
+    hash bits.
 
 A character that no piece covers becomes its UTF-8 bytes, each with the score of a 256th of all bytes
 counted.  Ties keep the shorter last piece.  Pre-tokens of any length go through the trie.
@@ -141,22 +142,22 @@ class Trie:
 
 
 def _spans(col: pa.Array):
-    """(buffer, starts, lengths, first word of each text, two hashes of each word)."""
+    """(buffer, starts, lengths, first word of each text, hash of each word)."""
     buf, off = T.text_buffer(col)
     starts, lens, first = T.word_spans(buf, off, T.BLANK_WORD)
-    return buf, starts, lens, first, T.hash_spans(buf, starts, lens), T.hash_spans(buf, starts, lens, seed=9)
+    return buf, starts, lens, first, np.maximum(T.hash_spans(buf, starts, lens), T.U64(1))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, h1, h2, n) of the distinct words of some texts."""
+    """Rows (word, n) of the distinct words of some texts."""
     for whole in batches:
         for b in T.slices(whole, "text", 8 << 20):
-            buf, starts, lens, _, h1, h2 = _spans(b.column("text"))
-            pick, back = T.distinct(h1, h2)
+            buf, starts, lens, _, h = _spans(b.column("text"))
+            pick, back = T.distinct(h, T.first_block(buf, starts, lens) ^ (lens.astype(T.U64) << T.U64(40)))
             size = lens[pick]
             cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             word = pa.Array.from_buffers(pa.string(), len(pick), [None, pa.py_buffer(cut), pa.py_buffer(buf[T.spans_index(starts[pick], size)])])
-            yield pa.RecordBatch.from_pydict({"word": word, "h1": pa.array(h1[pick].view(np.int64)), "h2": pa.array(h2[pick].view(np.int64)), "n": pa.array(np.bincount(back, minlength=len(pick)))})
+            yield pa.RecordBatch.from_pydict({"word": word, "n": pa.array(np.bincount(back, minlength=len(pick)))})
 
 
 def _tries(vocabulary, give):
@@ -190,28 +191,29 @@ def _used(trie: Trie, rows: pa.RecordBatch) -> pa.RecordBatch:
 
 def _terminals(trie: Trie, rows: pa.RecordBatch) -> pa.RecordBatch:
     score, tokens = trie.terminals()
-    return pa.RecordBatch.from_pydict({"h1": rows.column("h1"), "h2": rows.column("h2"), "n": rows.column("n"), "tokens": pa.array(tokens), "score": pa.array(score)})
+    buf, off = T.text_buffer(rows.column("word"))
+    h = np.maximum(T.hash_spans(buf, off[:-1], np.diff(off)), T.U64(1))
+    return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": rows.column("n"), "tokens": pa.array(tokens.astype(np.int32)), "score": pa.array(score)})
 
 
 def _local(known):
     """Mapper of texts to what is known of them by the frequent words, and their other words (tail)."""
-    tail = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64())])
+    tail = pa.struct([("h", pa.int64()), ("k", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
-        memo, tokens, score = known.value
+        index, tokens, score = known.value
         for whole in batches:
             for b in T.slices(whole, "text", 2 << 20):
-                _, _, _, first, h1, h2 = _spans(b.column("text"))
-                entry = memo.find(np.maximum(h1, T.U64(1)), h2)
+                _, _, _, first, h = _spans(b.column("text"))
+                entry = index.find(h)
                 has = entry >= 0
                 text = np.repeat(np.arange(b.num_rows), np.diff(first))
                 rest = np.flatnonzero(~has)
-                pick, back = T.distinct(T.mix(h1[rest] + text[rest].astype(T.U64) * T._MUL), h2[rest])
-                by_text = np.argsort(text[rest][pick], kind="stable")
-                k, one = np.bincount(back, minlength=len(pick))[by_text], rest[pick][by_text]
+                pick, back = T.distinct(text[rest].astype(T.U64), h[rest])  # sorted by text
+                k, one = np.bincount(back, minlength=len(pick)), rest[pick]
                 cut = np.searchsorted(text[one], np.arange(b.num_rows + 1)).astype(np.int32)
-                rows = pa.StructArray.from_arrays([pa.array(h1[one].view(np.int64)), pa.array(h2[one].view(np.int64)), pa.array(k)], fields=list(tail))
+                rows = pa.StructArray.from_arrays([pa.array(h[one].view(np.int64)), pa.array(k.astype(np.int32))], fields=list(tail))
                 entry = np.maximum(entry, 0)
                 yield pa.RecordBatch.from_pydict({
                     "rid": pa.array(rid + np.arange(b.num_rows)), "doc_id": b.column("doc_id"), "n_pretokens": pa.array(np.diff(first)),
@@ -224,11 +226,10 @@ def _local(known):
 
 
 def distinct_words(rows: DataFrame) -> DataFrame:
-    """(word, h1, h2, n) of all words of rows(text), sorted in ranges."""
-    counted = rows.select("text").mapInArrow(T.lean(_words), "word string, h1 long, h2 long, n long").groupBy("word", "h1", "h2").agg(F.sum("n").alias("n"))
-    counted = written(counted, "words")
+    """(word, n) of all words of rows(text), sorted in ranges."""
+    counted = rows.select("text").mapInArrow(T.lean(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return written(counted.repartitionByRange(n, "word").sortWithinPartitions("word"), "sorted")
+    return written(counted.repartitionByRange(n, "word").sortWithinPartitions("word"), "words")
 
 
 def estimated(words: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Vocabulary:
@@ -253,18 +254,16 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, doc_id: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     words = distinct_words(rows)
     vocabulary = estimated(words, Vocabulary(model_file), rounds)
-    table = written(words.mapInArrow(_tries(context.broadcast(vocabulary), _terminals), "h1 long, h2 long, n long, tokens long, score double"), "table")
+    table = written(words.mapInArrow(_tries(context.broadcast(vocabulary), _terminals), "h long, n long, tokens int, score double"), "table")
 
-    on_top = frequent(table, HEAD, "h1", "h2")
+    on_top = frequent(table, HEAD, "h")
     head = table.filter(on_top).toArrow()
-    memo = T.Memo(max(1, head.num_rows))
-    h1, h2 = (head[c].to_numpy().view(T.U64) for c in ("h1", "h2"))
-    memo.add(np.maximum(h1, T.U64(1)), h2)
-    known = context.broadcast((memo, np.append(head["tokens"].to_numpy(), 0), np.append(head["score"].to_numpy(), 0.0)))
+    index = T.HashIndex(head["h"].to_numpy().view(T.U64))
+    known = context.broadcast((index, np.append(head["tokens"].to_numpy().astype(np.int64), 0), np.append(head["score"].to_numpy(), 0.0)))
 
-    schema = f"rid long, doc_id {kind}, n_pretokens long, n_tokens long, score double, tail array<struct<h1: long, h2: long, k: long>>"
+    schema = f"rid long, doc_id {kind}, n_pretokens long, n_tokens long, score double, tail array<struct<h: long, k: int>>"
     local = written(rows.mapInArrow(_local(known), schema), "local")
-    beyond = local.select("rid", F.explode("tail").alias("w")).select("rid", "w.*").join(table.filter(~on_top), ["h1", "h2"])
+    beyond = local.select("rid", F.explode("tail").alias("w")).select("rid", "w.*").join(table.filter(~on_top).select("h", "tokens", "score"), "h")
     more = beyond.groupBy("rid").agg(F.sum(F.col("k") * F.col("tokens")).alias("more"), F.sum(F.col("k") * F.col("score")).alias("more_score"))
     zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
     return local.drop("tail").join(more, "rid", "left").select("doc_id", "n_pretokens", (F.col("n_tokens") + zero("more", "long")).alias("n_tokens"), (F.col("score") + zero("more_score", "double")).alias("score"))
