@@ -107,3 +107,37 @@ def test_the_share_of_probed_lists_falls_with_the_rows():
         index = I.learned(x, lists, 8, 0.97, 20, 3)
         shares.append(index.probes / lists)
     assert shares[0] > shares[1] > shares[2]
+
+
+def recall(spark, path, x, n_queries=60):
+    ids = np.arange(len(x))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    got = {}
+    for r in op2_ivfpq(spark, str(path)).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    asked = ids[ids % 20 == 0]
+    assert got.keys() == set(asked.tolist()) and all(len(v) == min(20, len(x) - 1) for v in got.values())
+    some = asked[:: max(1, len(asked) // n_queries)]
+    want = brute(ids, x, some)
+    return np.mean([len(set(got[q]) & {v for v, _ in want[q]}) / 20 for q in want])
+
+
+def test_recall_where_queries_do_not_look_like_rows(spark, tmp_path):
+    """Before: 0.74, as the probes were chosen on rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 64))[rng.integers(0, 50, 4000)] + 0.3 * rng.normal(size=(4000, 64))
+    x[::20] = rng.normal(size=(200, 64))
+    assert recall(spark, tmp_path, x) >= 0.95
+
+
+def test_recall_where_codes_are_coarse(spark, tmp_path):
+    """Before: 0.61, as only 3 * k rows of a shard were ranked."""
+    assert recall(spark, tmp_path, np.random.default_rng(6).normal(size=(3000, 512))) >= 0.95
+
+
+def test_recall_with_rows_of_rare_lengths(spark, tmp_path):
+    """Before: 0.93."""
+    rng = np.random.default_rng(7)
+    x = 0.01 * rng.normal(size=(3000, 32))
+    x[rng.integers(0, 3000, 30)] *= 1e4
+    assert recall(spark, tmp_path, x) >= 0.95

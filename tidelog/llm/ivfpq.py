@@ -3,11 +3,16 @@
 ``fit`` learns coarse centroids, about as many as the root of the number of rows, and, for each of
 ``parts`` slices of the residuals, a codebook of up to 256 entries.  It learns from a bounded sample of
 vectors, by a hash of the id: PER_LIST rows for each list, from 16384 up to ``sample`` rows, which also
-bounds the lists.  It also finds how many lists to probe: the fewest for which the lists of the sample's own queries hold
-``aim`` of their true neighbours in the sample.  ``encode`` puts every row into its list.  ``search``
-scores rows by asymmetric distance tables (query times centroid plus one table entry a slice),
-takes each shard's best by that score with all rows tied to them, and ranks those exactly, in double
-precision on the original vectors, ties to the smaller id.
+bounds the lists.  A first number of lists to probe holds ``aim`` of the true neighbours of sample rows in the
+sample.  ``encode`` puts every row into its list.  ``tuned`` then measures up to TRIED of the real queries by
+brute force over every row: queries need not look like rows, and rare rows may be missing in the sample.  It
+probes the fewest lists that hold ``aim`` of all those neighbours, and for 95 % of the queries nine tenths of
+their own, and it finds the ``slack``, how far scores by codes fall short of a true neighbour's, in units of the
+query's length times the row's own coding error (1 at most, by Cauchy and Schwarz, which holds without tuning).
+``search`` scores rows by asymmetric distance tables (query times centroid plus one table entry a slice),
+takes each shard's best by that score with all rows tied to them, then all rows that the slack lets reach the
+k-th of these, however many that are, and ranks those exactly, in double precision on the original vectors, ties
+to the smaller id.
 
 Lists are dealt into shards of about SHARD rows: long lists are split by a hash of the id, short ones
 share a shard, so one crowded centroid makes many tasks.  A task holds one shard and streams the
@@ -23,7 +28,7 @@ rows.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import _text as T
 from tidelog.llm._scratch import written
 
-SHARD, GROUP, PER_LIST = 1024, 64, 16
+SHARD, GROUP, PER_LIST, TRIED = 1024, 64, 16, 256
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -73,6 +78,7 @@ class Index:
     centers: np.ndarray  # (lists, dim)
     books: list[np.ndarray]  # for each slice: (entries, width)
     probes: int
+    slack: float = 1.0
 
     def slices(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum([b.shape[1] for b in self.books])])
@@ -83,6 +89,10 @@ class Index:
         rest, cut = x - self.centers[own], self.slices()
         return own, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(cut[:-1], cut[1:], self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def decoded(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What lists and codes tell of each row."""
+        return self.centers[own] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+
     def probed(self, q: np.ndarray) -> np.ndarray:
         """Whether each query probes each list."""
         s = q @ self.centers.T
@@ -90,10 +100,10 @@ class Index:
 
     def approximate(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric scores (queries, rows); minus infinity in lists that a query doesn't probe."""
-        s = np.where(self.probed(q), q @ self.centers.T, -np.inf).astype(np.float32).T[own]
+        s = np.where(self.probed(q), q @ self.centers.T, -np.inf).T[own]
         cut = self.slices()
         for k, (a, b, book) in enumerate(zip(cut[:-1], cut[1:], self.books, strict=True)):
-            s += (book @ q[:, a:b].T).astype(np.float32)[codes[:, k]]  # whole rows of the table: one entry for all queries
+            s += (book @ q[:, a:b].T)[codes[:, k]]  # whole rows of the table: one entry for all queries
         return np.ascontiguousarray(s.T)
 
 
@@ -149,6 +159,54 @@ def encode(vectors: DataFrame, index: Index) -> DataFrame:
     return written(rows.mapInArrow(_encode(vectors.sparkSession.sparkContext.broadcast(index)), f"vec_id long, embedding {kind}, list int, code binary"), "lists")
 
 
+def _codes(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
+
+
+def _true(index, qids: np.ndarray, q: np.ndarray, k: int):
+    """Mapper of the inverted file to the task's k best rows of each query: how far, list, and by how much of
+    the Cauchy-Schwarz bound its code falls short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = q / np.sqrt((q**2).sum(axis=1, keepdims=True))
+        best = np.zeros((3, len(q), 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own = matrix(b.column("embedding")), b.column("list").to_numpy()
+            rest = x - index.value.decoded(own, _codes(b.column("code")))
+            size = np.sqrt((rest**2).sum(axis=1, keepdims=True))
+            far = np.where(qids[:, None] == b.column("vec_id").to_numpy()[None, :], np.inf, -(q @ x.T))
+            of = np.stack([far, np.broadcast_to(own, far.shape), unit @ (rest / np.where(size > 0, size, 1)).T])
+            best = np.concatenate([best, of], axis=2)
+            if best.shape[2] > k:
+                best = np.take_along_axis(best, np.argpartition(best[0], k - 1, axis=1)[None, :, :k], axis=2)
+        at, _ = np.nonzero(best[0] < np.inf)
+        far, own, short = best[:, best[0] < np.inf]
+        yield pa.RecordBatch.from_pydict({"query": pa.array(at.astype(np.int32)), "far": pa.array(far), "list": pa.array(own.astype(np.int32)), "short": pa.array(short)})
+
+    return T.lean(run)
+
+
+def tuned(index: Index, inverted: DataFrame, queries: DataFrame, k: int = 20, aim: float = 0.97) -> Index:
+    """The index with probes and slack for these queries, measured by brute force over every row."""
+    tried = queries.filter(F.size("embedding") == index.dim).orderBy(F.xxhash64("vec_id", "embedding")).limit(TRIED).toArrow()
+    if not tried.num_rows:
+        return index
+    qids, q = tried["vec_id"].to_numpy(), matrix(tried["embedding"])
+    found = inverted.mapInArrow(_true(inverted.sparkSession.sparkContext.broadcast(index), qids, q, k), "query int, far double, list int, short double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("far", "list", "short"))), 1, k).alias("best")
+    rows = found.groupBy("query").agg(best).select("query", F.explode("best").alias("b")).select("query", "b.list", "b.short").toArrow()
+    if not rows.num_rows:
+        return index
+    rank = np.argsort(np.argsort(-(q @ index.centers.T), axis=1, kind="stable"), axis=1)
+    at = rows["query"].to_numpy()
+    needed = rank[at, rows["list"].to_numpy()] + 1
+    share = lambda a, part: int(np.sort(a)[max(0, int(np.ceil(part * len(a))) - 1)])
+    each = np.array([share(needed[at == j], 0.9) for j in np.unique(at)])
+    return replace(index, probes=max(share(needed, aim), share(each, 0.95)), slack=float(np.clip(np.quantile(np.nan_to_num(rows["short"].to_numpy(), nan=1.0), 0.999), 0, 1)))
+
+
 def deal(sizes: dict[int, int], n_lists: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """(first shard, number of shards) of each list: long lists are split, short ones share."""
     first, n = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64)
@@ -186,30 +244,39 @@ def _send(index, plan):
     return T.lean(run)
 
 
+def _wanted(q: np.ndarray, x: np.ndarray, want: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of the wanted pairs; of many, only those that can be among a query's k best."""
+    if want.sum() > want.size // 8 and want.shape[1] > k:
+        rough = np.where(want, q @ x.T, -np.inf)
+        edge = np.partition(rough, rough.shape[1] - k, axis=1)[:, [rough.shape[1] - k]]
+        want = want & (rough >= edge - 1e-9 * np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1)))
+    at, row = np.nonzero(want)
+    step = max(1, (1 << 21) // x.shape[1])
+    score = [(x[row[j : j + step]] * q[at[j : j + step]]).sum(axis=1) for j in range(0, len(at), step)]
+    return at, row, np.concatenate([np.zeros(0), *score])
+
+
 def _answer(index, k: int):
     def best(ids, x, own, codes, qids, q):
         s = index.value.approximate(q, own, codes)
         s[qids[:, None] == ids[None, :]] = -np.inf
-        depth = min(3 * k, len(ids))
+        depth, size = min(3 * k, len(ids)), np.sqrt((q**2).sum(axis=1))[:, None]
+        rest, length = np.sqrt(((x - index.value.decoded(own, codes)) ** 2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
         near = np.argpartition(-s, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
         scores = np.take_along_axis(s, near, axis=1)
-        exact = np.where(scores > -np.inf, (x[near] * q[:, None, :]).sum(axis=2), -np.inf)
-        by_id = np.argsort(ids[near], axis=1, kind="stable")
-        near, exact = np.take_along_axis(near, by_id, axis=1), np.take_along_axis(exact, by_id, axis=1)
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        out_ids, out_scores = ids[np.take_along_axis(near, order, axis=1)], np.take_along_axis(exact, order, axis=1)
-        n = (out_scores > -np.inf).sum(axis=1)
-        edge = scores.min(axis=1)
-        tied = ((s >= (edge - 1e-5 * np.abs(edge))[:, None]) & (s > -np.inf)).sum(axis=1) > depth
-        rows_ids, rows_scores = [a[:m] for a, m in zip(out_ids, n, strict=True)], [a[:m] for a, m in zip(out_scores, n, strict=True)]
-        for i in np.flatnonzero(tied).tolist():  # all rows tied to the last one count
-            all_near = np.flatnonzero((s[i] >= edge[i] - 1e-5 * abs(edge[i])) & (s[i] > -np.inf))
-            score = (x[all_near] * q[i]).sum(axis=1)
-            by = np.lexsort((ids[all_near], -score))[:k]
-            rows_ids[i], rows_scores[i] = ids[all_near][by], score[by]
-        size = np.concatenate([[0], np.cumsum([len(i) for i in rows_ids])]).astype(np.int32)
-        found = pa.StructArray.from_arrays([pa.array(-np.concatenate(rows_scores)), pa.array(np.concatenate(rows_ids))], ["far", "vec_id"])
-        return pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(qids), shard_of[0], np.int32)), "query_id": pa.array(qids), "found": pa.ListArray.from_arrays(pa.array(size), found)})
+        exact = np.sort(np.where(scores > -np.inf, (x[near] * q[:, None, :]).sum(axis=2), -np.inf), axis=1)
+        kth = exact[:, [-k]] if depth >= k else np.full((len(q), 1), -np.inf)
+        edge = scores.min(axis=1, keepdims=True)
+        edge = np.where(edge > -np.inf, edge - 1e-5 * np.abs(edge), edge)  # all rows tied to the last one count
+        want = (s > -np.inf) & ((s >= edge) | (s + size * (index.value.slack * rest + 1e-9 * length) >= kth))
+        at, row, score = _wanted(q, x, want, k)
+        by = np.lexsort((ids[row], -score, at))
+        at, row, score = at[by], row[by], score[by]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, row, score = at[kept], row[kept], score[kept]
+        first = np.searchsorted(at, np.arange(len(q) + 1)).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids[row])], ["far", "vec_id"])
+        return pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(qids), shard_of[0], np.int32)), "query_id": pa.array(qids), "found": pa.ListArray.from_arrays(pa.array(first), found)})
 
     shard_of = [0]
 
@@ -227,8 +294,7 @@ def _answer(index, k: int):
                     shard_of[0] = own
                 x, ids = matrix(run_of.column("embedding")), run_of.column("vec_id").to_numpy()
                 if not query:
-                    codes = np.frombuffer(b"".join(run_of.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    parts.append((ids, x, run_of.column("list").to_numpy(), codes))
+                    parts.append((ids, x, run_of.column("list").to_numpy(), _codes(run_of.column("code"))))
                 elif parts:
                     held = held or tuple(np.concatenate(p) for p in zip(*parts, strict=True))
                     step = min(512, max(16, (4 << 20) // (3 * k * x.shape[1])))  # queries ranked at once

@@ -25,13 +25,14 @@ def op1_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.ivfpq import encode, fit, search, usable
+    from tidelog.llm.ivfpq import encode, fit, search, tuned, usable
 
     vectors = usable(_read(spark, sf_dir, "embeddings"))
     index = fit(vectors)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(encode(vectors, index), vectors.filter(F.col("vec_id") % 20 == 0), index)
+    inverted, asked = encode(vectors, index), vectors.filter(F.col("vec_id") % 20 == 0)
+    return search(inverted, asked, tuned(index, inverted, asked))
 
 
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
