@@ -312,6 +312,22 @@ def test_pieces_over_chunks(spark):
         at[inode] = page, min(16, used + k)
 
 
+def test_pieces_of_many_short_queues_are_few_groups(spark):
+    """Before: a group for nearly every row, as chunks were cut by the whole log's order."""
+    rows = [(None if k % 300 == 7 else k % 300, 1000 * k - 10**6, 1 + (k * 7) % 20) for k in range(6000)] + [(1000, k if k < 400 else 10**7 + 40 * k, 1 + k % 5) for k in range(900)]
+    packed = gc.pack_pieces(spark.createDataFrame(rows, "inode long, seq long, pieces long"), width=64)
+    plan = packed._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
+    got, at = {(r.inode, r.seq): (r.page_no, r.slot) for r in packed.collect()}, {}
+    assert len(got) == len(rows)
+    for inode, seq, k in sorted(rows, key=lambda r: r[1]):
+        page, used = at.get(inode, (0, 0))
+        if used + k > 16:
+            page, used = page + 1, 0
+        assert got[inode, seq] == (page, used)
+        at[inode] = page, min(16, used + k)
+
+
 def test_cache_of_bytes(spark):
     log = log_of(spark, [(k, "SET" if k % 3 else "GET", 1, b, 1.0) for k, b in enumerate([1, 2, 3, 1, 4, 9, 1, 2, 3, 4])])
     r = caches.simulate_lru(log, capacity=10, shards=1, size=F.col("block")).first()

@@ -5,8 +5,11 @@ Each write gets a page (by order of writing); a page is valid while its row is i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,54 +98,101 @@ def pack(rows: DataFrame, per_page: int, by: str = "inode", order: str | tuple[s
     return placed.withColumn("page_no", F.floor(F.col("pos") / per_page)).withColumn("slot", F.pmod("pos", F.lit(per_page)))
 
 
-def _room(pieces: np.ndarray, used: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """After packing values behind pages with ``used`` pieces: (pages opened, pieces used) for each start."""
-    pages = np.zeros(len(used), np.int64)
-    used = used.copy()
-    for k in pieces.tolist():
-        opens = used + k > capacity
-        pages += opens
-        used = np.minimum(np.where(opens, k, used + k), capacity)
-    return pages, used
+def _walk(pieces: np.ndarray, first: np.ndarray, page: np.ndarray, used: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packs chunks of values (chunk c from first[c] on) at the same time, from several states each: page and
+    used (chunks, states) move on to where the chunks lead.  Page and slot of each value, from the first state."""
+    size = np.diff(first)
+    order = np.argsort(-size, kind="stable")
+    page_no, slot = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    p, u = page[order], used[order]
+    for j, m in enumerate(np.searchsorted(-size[order], -np.arange(size.max(initial=0))).tolist()):
+        at = first[order[:m]] + j
+        k = pieces[at][:, None]
+        opens = u[:m] + k > capacity
+        p[:m] += opens
+        u[:m][opens] = 0
+        page_no[at], slot[at] = p[:m, 0], u[:m, 0]
+        u[:m] = np.minimum(u[:m] + k, capacity)
+    page[order], used[order] = p, u
+    return page_no, slot
+
+
+def _changes(t: pa.Table, *names: str) -> np.ndarray:
+    """Rows of t at which one of the columns changes, and the first."""
+    new = np.arange(t.num_rows) == 0
+    for c in (t[name].combine_chunks() for name in names):
+        a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+        new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | pc.xor(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """About so many rows at once, of whole chunks, and where each chunk begins (and the end)."""
+    held, n, most = [], 0, rows
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= most:
+            t = pa.Table.from_batches(held)
+            first = _changes(t, "queue", "chunk")
+            if len(first) > 1:
+                yield t.slice(0, int(first[-1])), first
+            held = t.slice(int(first[-1])).to_batches()
+            n = sum(x.num_rows for x in held)
+            most = max(rows, 2 * n)  # a long chunk isn't looked through again and again
+    if n:
+        t = pa.Table.from_batches(held)
+        yield t, np.append(_changes(t, "queue", "chunk"), t.num_rows)
 
 
 def pack_pieces(rows: DataFrame, by: str = "inode", order: str = "seq", capacity: int = GEOMETRY.page_bytes // GEOMETRY.piece_bytes, width: int = 4096) -> DataFrame:
     """Values of several pieces dealt to pages of ``capacity`` pieces: a value larger than the room left
     opens a page (a value larger than a page has one of its own).
 
-    A queue is a state machine over the room left, of which there are capacity + 1 states.  So it is cut
-    by ``order`` into chunks of ``width``; each chunk, in parallel, says where it leads from every state;
-    these maps, one row a chunk, are followed along the queue; then each chunk packs its values."""
-    start = F.floor(F.col(order) / width).alias("chunk")
-    chunked = rows.select(F.col(by).alias("queue"), start, F.col(order).cast("long").alias("at"), F.col("pieces").cast("int").alias("pieces"))
-
-    def lead(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pages, used = _room(pdf.sort_values("at")["pieces"].to_numpy(), np.arange(capacity + 1), capacity)
-        return pd.DataFrame({"queue": [key[0]], "chunk": [key[1]], "pages": [pages.tolist()], "used": [used.tolist()]})
-
-    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        out, page, used = [], 0, 0
-        for chunk, pages, ends in zip(pdf["chunk"], pdf["pages"], pdf["used"], strict=True):
-            out.append((key[0], chunk, page, used))
-            page, used = page + int(pages[used]), int(ends[used])
-        return pd.DataFrame(out, columns=["queue", "chunk", "page0", "used0"])
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        page, used, pages, slots = int(pdf["page0"].iloc[0]), int(pdf["used0"].iloc[0]), [], []
-        for k in pdf["pieces"].tolist():
-            if used + k > capacity:
-                page, used = page + 1, 0
-            pages.append(page)
-            slots.append(used)
-            used = min(used + k, capacity)
-        return pd.DataFrame({"queue": pdf["queue"], "at": pdf["at"], "pieces": pdf["pieces"], "page_no": pages, "slot": slots})
-
+    A queue is a state machine over the room left, of which there are capacity + 1 states.  A queue of up to
+    ``width`` values is one chunk and begins on an empty page.  A longer one is cut by ``order`` into stretches
+    that hold ``width`` values on average; each of these, in parallel, says where it leads from every state;
+    these maps, one row a chunk, are followed along the queue.  Then each chunk packs its values.  A task packs
+    all its chunks at the same time, value by value."""
     kind = rows.schema[by].dataType.simpleString()
-    maps = chunked.groupBy("queue", "chunk").applyInPandas(lead, f"queue {kind}, chunk long, pages array<long>, used array<long>")
-    starts = maps.groupBy("queue").applyInPandas(follow, f"queue {kind}, chunk long, page0 long, used0 long")
-    placed = chunked.join(starts, ["queue", "chunk"]).groupBy("queue", "chunk").applyInPandas(deal, f"queue {kind}, at long, pieces int, page_no int, slot int")
+    plain = rows.select(F.col(by).alias("queue"), F.col(order).cast("long").alias("at"), F.col("pieces").cast("int").alias("pieces"))
+    long = plain.groupBy("queue").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most")).filter(F.col("n") > width)
+    step = F.ceil(F.lit(width) * (F.col("most") - F.col("least") + 1) / F.col("n"))
+    long = long.select(F.col("queue").alias("__queue"), "least", F.greatest(step, F.lit(1)).alias("step"))
+    chunk = F.coalesce(F.floor((F.col("at") - F.col("least")) / F.col("step")), F.lit(-1)).cast("long").alias("chunk")  # -1: the whole queue
+    chunked = plain.join(long, plain.queue.eqNullSafe(long["__queue"]), "left").select("queue", chunk, "at", "pieces")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _chunks(batches):
+            page, used = np.zeros((len(first) - 1, capacity + 1), np.int64), np.tile(np.arange(capacity + 1), (len(first) - 1, 1))
+            _walk(t["pieces"].to_numpy(), first, page, used, capacity)
+            ends = np.arange(0, page.size + 1, capacity + 1, dtype=np.int32)
+            at = t.select(["queue", "chunk"]).take(first[:-1]).combine_chunks()
+            yield pa.RecordBatch.from_pydict({c: at[c].chunk(0) for c in ("queue", "chunk")} | {"pages": pa.ListArray.from_arrays(ends, page.ravel()), "used": pa.ListArray.from_arrays(ends, used.ravel())})
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, page, used = None, 0, 0
+        for b in batches:
+            starts = []
+            for own, pages, ends in zip(b.column("queue").to_pylist(), b.column("pages").to_pylist(), b.column("used").to_pylist(), strict=True):
+                if queue is None or queue[0] != own:
+                    queue, page, used = (own,), 0, 0
+                starts.append((page, used))
+                page, used = page + pages[used], ends[used]
+            yield pa.RecordBatch.from_pydict({"__queue": b.column("queue"), "__chunk": b.column("chunk"), "page0": pa.array([s[0] for s in starts], pa.int64()), "used0": pa.array([s[1] for s in starts], pa.int64())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _chunks(batches):
+            page, used = (t[c].to_numpy()[first[:-1], None].copy() for c in ("page0", "used0"))
+            page_no, slot = _walk(t["pieces"].to_numpy(), first, page, used, capacity)
+            out = t.select(["queue", "at", "pieces"]).append_column("page_no", pa.array(page_no.astype(np.int32))).append_column("slot", pa.array(slot.astype(np.int32)))
+            yield from out.to_batches(max_chunksize=1 << 14)
+
+    spread = lambda df: df.repartition("queue", "chunk").sortWithinPartitions("queue", "chunk", "at")
+    maps = spread(chunked.filter("chunk >= 0")).mapInArrow(lead, f"queue {kind}, chunk long, pages array<long>, used array<long>")
+    starts = maps.repartition("queue").sortWithinPartitions("queue", "chunk").mapInArrow(follow, f"__queue {kind}, __chunk long, page0 long, used0 long")
+    begun = chunked.join(starts, chunked.queue.eqNullSafe(starts["__queue"]) & (chunked.chunk == starts["__chunk"]), "left")
+    begun = begun.select("queue", "chunk", "at", "pieces", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("page0", "used0")))
+    placed = spread(begun).mapInArrow(deal, f"queue {kind}, at long, pieces int, page_no int, slot int")
     return placed.select(F.col("queue").alias(by), F.col("at").alias(order), "pieces", "page_no", "slot")
 
 
