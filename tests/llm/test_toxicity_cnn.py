@@ -114,3 +114,40 @@ def test_scores_do_not_depend_on_neighbours():
     net = X.fit(pa.array(texts), np.array([float("bad" in t) for t in texts]))
     alone = np.concatenate([net.logits(pa.array([t])) for t in texts[:6]])
     assert np.allclose(net.logits(pa.array(texts[:6])), alone, atol=1e-5) and np.allclose(net.logits(pa.array(texts[5::-1]))[::-1], alone, atol=1e-5)
+
+
+def test_every_labelled_document_teaches_and_calibrates(spark):
+    """Before: words that only documents outside the sample hold taught nothing, and the thresholds came from a
+    fifth of the sample."""
+    rng = np.random.default_rng(8)
+    plain = [f"w{k}" for k in range(40)]
+    docs, toxic = [], []
+    for k in range(3000):
+        words = rng.choice(plain, 8).tolist()
+        if k % 3 == 0:
+            words[3] = f"vile{rng.integers(0, 60)}"
+        docs.append((k, " ".join(words), "a"))
+        toxic.append((k, int(k % 3 == 0)))
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(toxic, "doc_id long, toxic int")
+    calibrated, kept = [], X.best_logit
+    X.best_logit = lambda z, y, *n: calibrated.append(int(n[0].sum()) if n else len(y)) or kept(z, y, *n)
+    try:
+        net = X.learn(df, labels, lambda f: F.lit(True), per_class=40)
+    finally:
+        X.best_logit = kept
+    assert max(calibrated) > 500
+    score = {r.doc_id: r.score for r in X.score(df, net).collect()}
+    assert np.mean([(score[k] >= 0.5) == y for k, y in toxic]) > 0.97
+
+
+def test_averaged_replicas_learn(spark, sf, monkeypatch):
+    """Several replicas and a small start, on held-out rows of sf0.1."""
+    monkeypatch.setattr(X, "REPLICA", 500)
+    big = sf.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    net = X.learn(docs, labels, lambda f: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, per_class=100)
+    score = {r.doc_id: r.score for r in X.score(docs, net).collect()}
+    known = [(score[r.doc_id], r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert auc([s for s, _ in known], [y for _, y in known]) > 0.95
+    hit = sum(s >= 0.5 and y for s, y in known)
+    assert hit / max(1, sum(s >= 0.5 for s, _ in known)) > 0.9 and hit / sum(y for _, y in known) > 0.85
