@@ -98,3 +98,18 @@ def test_edges_of_each_stage(spark, edges):
 def test_run_gives_the_last_stage(spark, sf):
     rows = P.run(spark, sf)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and rows.count() > 100
+
+
+def test_the_toxicity_stage_learns_from_every_labelled_document(spark, tmp_path, monkeypatch):
+    """Before: thresholds came from a fifth of a sample, here of about 80 documents."""
+    rng = np.random.default_rng(9)
+    plain = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join([*rng.choice(plain, 6), f"vile{rng.integers(0, 60)}" if k % 3 == 0 else "mild"]), "a", "s", 1) for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(3000)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, best, learn = [], toxicity_cnn.best_logit, toxicity_cnn.learn
+    monkeypatch.setattr(toxicity_cnn, "best_logit", lambda z, y, *n: seen.append(int(n[0].sum()) if n else len(y)) or best(z, y, *n))
+    monkeypatch.setattr(toxicity_cnn, "learn", lambda *args: learn(*args, per_class=40))
+    left = {r.doc_id for r in dict(P.STAGES)["toxicity"](spark, df, str(tmp_path)).collect()}
+    assert max(seen) > 500
+    assert sum((k in left) == (k % 3 > 0) for k in range(3000)) > 0.97 * 3000
