@@ -151,3 +151,10 @@ def test_averaged_replicas_learn(spark, sf, monkeypatch):
     assert auc([s for s, _ in known], [y for _, y in known]) > 0.95
     hit = sum(s >= 0.5 and y for s, y in known)
     assert hit / max(1, sum(s >= 0.5 for s, _ in known)) > 0.9 and hit / sum(y for _, y in known) > 0.85
+
+
+def test_documents_too_long_for_the_start_teach(spark):
+    docs = spark.createDataFrame([(k, ("good day " if k % 2 else "bad day ") * 5, "a") for k in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(600)], "doc_id long, toxic int")
+    net = X.learn(docs, labels, lambda f: F.lit(True), most_words=300)
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in X.score(docs, net).collect())

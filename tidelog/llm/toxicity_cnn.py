@@ -195,9 +195,9 @@ def fit_features(rows: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     ones, zeros = size or (y.sum(), (1 - y).sum())
     prior = float(np.log((ones + 0.5) / (zeros + 0.5)))
-    if not 0 < y.sum() < len(y):
+    if not (ones > 0 and zeros > 0):
         return Network(None, [], [], None, 0.0, prior)
-    none = np.zeros((PAD, 3), np.int32)
+    both, none = 0 < y.sum() < len(y), np.zeros((PAD, 3), np.int32)
     pos, neg = (feature_counts(rows, first, y) if counts is None else counts).T
     of_text = lambda d: np.concatenate([rows[first[d] : first[d + 1]], none])
     odds = np.log((pos + 0.5) / (ones + 1)) - np.log((neg + 0.5) / (zeros + 1))
@@ -212,8 +212,8 @@ def fit_features(rows: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int =
     for w in net.filters:
         w[0, 0, 0] = 1.0
     net.out[::FILTERS] = 1.0
-    training = Training(net, float(y.mean()))
-    for _ in range(epochs):
+    training = Training(net, float(y.mean()) if both else 0.5)
+    for _ in range(epochs if both else 0):  # a start without both classes takes no steps
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             own = order[at : at + batch]
