@@ -80,3 +80,21 @@ def test_query_against_brute_force(spark, sf):
         if top - second > 3:
             assert got[d.doc_id].lang_pred == best
             assert abs(got[d.doc_id].score - top / (top + second)) < 0.02
+
+
+def test_holders_against_brute_force():
+    """Short texts, texts of one letter or none, and more different letters than one number can hold."""
+    wide = "".join(c for c in map(chr, range(0x3400, 0xD7A4)) if c.isalpha())
+    texts = ["a", None, "", "1", "ab", "abab ab", "The cat, the CAT", "le chat", "ab", "a b c d e"]
+    for texts in (texts, texts + [wide], ["cat"], [None]):
+        lang = np.array([k % 3 for k in range(len(texts))])
+        x, text, _ = L.characters(texts)
+        want = Counter()
+        for h, own in L.ngrams(x, text):
+            want.update((int(lang[t]), g) for g, t in set(zip(h.tolist(), own.tolist())))
+        got = Counter()
+        for of, h, n in L.holders(texts, lang):
+            for k, g, m in zip(of.tolist(), h.tolist(), n.tolist()):
+                assert (k, g) not in got
+                got[k, g] = m
+        assert got == want

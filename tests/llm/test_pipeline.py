@@ -113,3 +113,17 @@ def test_the_toxicity_stage_learns_from_every_labelled_document(spark, tmp_path,
     left = {r.doc_id for r in dict(P.STAGES)["toxicity"](spark, df, str(tmp_path)).collect()}
     assert max(seen) > 500
     assert sum((k in left) == (k % 3 > 0) for k in range(3000)) > 0.97 * 3000
+
+
+def test_toxicity_learns_languages_from_every_document(spark, tmp_path, monkeypatch):
+    """Before: the filters that choose a text's threshold came from about 2000 documents of each language."""
+    word = lambda k: "".join(chr(0x4E00 + 4 * k + j) for j in range(4))
+    texts = [word(k) for k in range(30) for _ in range(6)] + [word(k) for k in range(30, 60) for _ in range(5)]
+    docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts + ["good day"] * (6000 - len(texts)))], "doc_id long, text string, lang string")
+    spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nets = []
+    monkeypatch.setattr(toxicity_cnn, "keep_clean", lambda docs, net: nets.append(net) or docs)
+    P.toxicity(spark, docs, str(tmp_path))
+    counts, total, _ = nets[0].languages.counts([word(k) for k in range(60)])
+    assert np.allclose(counts[:30, 0], total[:30], atol=0.1)  # 6 of 6000 documents: as many as 2 of 2000
+    assert np.allclose(counts[30:, 0], 0, atol=0.1)

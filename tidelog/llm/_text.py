@@ -222,8 +222,12 @@ class Counter:
         self.most, self.parts, self.held = most, [], 0
 
     def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.held += len(self.parts[-1][0])
+        return self.put(*np.unique(keys, return_counts=True))
+
+    def put(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for n of each key."""
+        self.parts.append((keys, n))
+        self.held += len(keys)
         return self.take() if self.held > self.most else None
 
     def take(self) -> tuple[np.ndarray, np.ndarray] | None:

@@ -8,10 +8,11 @@ decides.
 
 Learning: n-grams (2 to 4 characters of letters and single spaces, lower case, words padded by a
 space) of labelled documents.  The labelled rows are a bounded sample: about ``per_language`` whole
-documents of each language (all, where there are fewer), taken by a hash of id and text.  An n-gram
-is put into a language's filter if at least ``min_docs`` sampled documents of the language hold it
-and its share of them is at least ``min_share`` of its largest share in any language, so foreign
-passages do not spoil a filter.  Only fixed-size filters reach the driver.
+documents of each language (all, where there are fewer), taken by a hash of id and text; with
+``whole`` they are all rows.  An n-gram is put into a language's filter if at least ``min_docs`` of these
+documents of the language hold it (of more than ``per_language``: as many for each ``per_language``, so
+filters don't fill with the corpus) and its share of them is at least ``min_share`` of its largest share in
+any language, so foreign passages do not spoil a filter.  Only fixed-size filters reach the driver.
 
 Prediction reads the whole text, of any length, and nothing else.  Rows are judged one by one, whatever
 their ids; extra columns are ignored; an empty table gives no rows.  ``und`` (score 0) for null texts and texts without
@@ -77,12 +78,57 @@ def ngrams(x: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         whole = x[: len(x) - n + 1] > 0
         for k in range(1, n):
             part = codes[k : len(x) - n + 1 + k]
-            h = (h * T.U64(0x100000001B3)) ^ part if k > 2 else h | (part << T.U64(21 * k))
+            h = _joined(h, part, k)
             whole &= part > 0
         h = T.mix(h[whole] ^ T.U64(n << 60))
         yield h, text[: len(x) - n + 1][whole]
 
 
+def _joined(h: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
+    """k characters and the next one."""
+    return (h * T.U64(0x100000001B3)) ^ part if k > 2 else h | (part << T.U64(21 * k))
+
+
+def holders(texts: list[str | None], lang: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(languages, hashes of n-grams, number of the language's texts with the n-gram), each pair once for each order."""
+    by = np.argsort(lang, kind="stable")
+    lang = lang[by]
+    x, text, _ = characters([texts[k] for k in by.tolist()])
+    used = np.zeros(0x110000, bool)
+    used[x] = True
+    alphabet, most = np.flatnonzero(used).astype(T.U64), max(ORDERS)
+    bits, low = T.U64(max(1, int(len(alphabet) - 1).bit_length())), T.U64(int(len(lang) - 1).bit_length())
+    own = lambda key: (key & ((T.U64(1) << low) - T.U64(1))).astype(np.int64)
+    if most * int(bits) + int(low) > 64:  # too many for one number
+        for h, of in ngrams(x, text):
+            one, _ = T.distinct(h, of.astype(T.U64))
+            for k in np.unique(lang[of[one]]):
+                u, n = np.unique(h[one[lang[of[one]] == k]], return_counts=True)
+                yield np.full(len(u), k), u, n
+        return
+    rank = np.cumsum(used) - 1
+    code = np.concatenate([rank[x], np.zeros(most - 1, np.int64)]).astype(T.U64)
+    key, inside = code[: len(x)].copy(), x > 0
+    for k in range(1, most):  # the longest n-gram at each character, cut at the text's end
+        part = code[k : len(x) + k]
+        inside &= part > 0
+        key = (key << bits) | (part * inside)
+    key = ((key << low) | text.astype(T.U64))[x > 0]
+    for n in range(most, 1, -1):  # sorted by n-gram and text; a shorter n-gram is the start of a longer one
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        full = key[(key >> low) & ((T.U64(1) << bits) - T.U64(1)) > 0]
+        if n in ORDERS and len(full):
+            gram, of = full >> low, lang[own(full)]
+            at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])))
+            parts = [alphabet[((gram[at] >> (bits * T.U64(n - 1 - k))) & ((T.U64(1) << bits) - T.U64(1))).astype(np.int64)] for k in range(n)]
+            h = parts[0]
+            for k in range(1, n):
+                h = _joined(h, parts[k], k)
+            yield of[at], T.mix(h ^ T.U64(n << 60)), np.diff(np.append(at, len(full)))
+        key = ((key >> (low + bits)) << low) | (key & ((T.U64(1) << low) - T.U64(1)))
+
+
 def slots(h: np.ndarray) -> Iterator[np.ndarray]:
     for k in range(HASHES):
         yield ((h >> T.U64(21 * k)) & T.U64(SLOTS - 1)).astype(np.int64)
@@ -127,37 +173,27 @@ def _collect_ngrams(languages: list[str]):
     at = {name: k for k, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[np.ndarray]] = {}
+        seen = [T.Counter(max(20_000, 2_000_000 // len(languages))) for _ in languages]
 
-        def out():
-            for lang, parts in seen.items():
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                for k in range(0, len(h), 1 << 16):
-                    m = len(h[k : k + (1 << 16)])
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(m, lang, np.int32)), "h": pa.array(h[k : k + m].view(np.int64)), "n": pa.array(n[k : k + m].astype(np.int64))})
-            seen.clear()
+        def out(lang, counted):
+            h, n = counted or ((), ())
+            for k in range(0, len(h), 1 << 16):
+                m = len(h[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(m, lang, np.int32)), "h": pa.array(h[k : k + m].view(np.int64)), "n": pa.array(n[k : k + m].astype(np.int64))})
 
-        held = 0
         for whole in batches:
             for b in T.slices(whole, "text", 1 << 20):
-                lang = np.array([at[name] for name in b.column("lang").to_pylist()])
-                x, text, _ = characters(b.column("text").to_pylist())
-                for h, own in ngrams(x, text):
-                    one, _ = T.distinct(h, own.astype(T.U64))
-                    of = lang[own[one]]
-                    for k in np.unique(of):
-                        seen.setdefault(int(k), []).append(h[one[of == k]])
-                    held += len(one)
-                if held > 4_000_000:
-                    yield from out()
-                    held = 0
-        yield from out()
+                for lang, h, n in holders(b.column("text").to_pylist(), np.array([at[name] for name in b.column("lang").to_pylist()])):
+                    for k in np.unique(lang).tolist():
+                        yield from out(k, seen[k].put(h[lang == k], n[lang == k]))
+        for k, counter in enumerate(seen):
+            yield from out(k, counter.rest())
 
     return T.lean(run)
 
 
-def learn(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, min_docs: int = 2, min_share: float = 0.1) -> Filters:
-    """Filters of all languages of the rows where the column learn_from is true."""
+def learn(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, min_docs: int = 2, min_share: float = 0.1, whole: bool = False) -> Filters:
+    """Filters of all languages of the rows where the column learn_from is true; with whole, of every such row."""
     rows = docs.filter(learn_from).select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(size, key=lambda k: (-size[k], k))
@@ -166,12 +202,14 @@ def learn(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text
     if languages:
         unit = 1 << 30
         share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(unit, int(unit * per_language / size[k]) + 1))))
-        sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(unit)) < share[F.col("lang")])
+        sample = rows if whole else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(unit)) < share[F.col("lang")])
         found = sample.select("text", "lang").mapInArrow(_collect_ngrams(languages), "lang int, h long, n long")
-        docs_of = F.create_map(*(F.lit(x) for k, name in enumerate(languages) for x in (k, float(min(size[name], per_language)))))
+        taught = [float(size[name] if whole else min(size[name], per_language)) for name in languages]
+        docs_of = F.create_map(*(F.lit(x) for k, n in enumerate(taught) for x in (k, n)))
+        least = F.create_map(*(F.lit(x) for k, n in enumerate(taught) for x in (k, min_docs * max(1.0, n / per_language))))
         by_lang = found.groupBy("h", "lang").agg(F.sum("n").alias("n")).withColumn("share", F.col("n") / docs_of[F.col("lang")])
         held = by_lang.groupBy("h").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "n", "share")).alias("of"))  # one entry per language
-        kept = held.select("h", "most", F.explode("of").alias("o")).filter((F.col("o.n") >= min_docs) & (F.col("o.share") >= min_share * F.col("most")))
+        kept = held.select("h", "most", F.explode("of").alias("o")).filter((F.col("o.n") >= least[F.col("o.lang")]) & (F.col("o.share") >= min_share * F.col("most")))
         word, bit = F.floor(F.col("o.lang") / 64), F.expr("shiftleft(1L, o.lang % 64)")
         slot = F.explode(F.array(*(F.shiftrightunsigned("h", 21 * k).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)))).alias("slot")
         bits = kept.select(word.cast("short").alias("word"), bit.alias("bit"), slot).groupBy("word", F.col("slot").cast("int").alias("slot")).agg(F.bit_or("bit").alias("bits")).toArrow()
